@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,33 +18,62 @@ from waymark.llm._common import quiet_threads
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 CHUNK_CHARS = 64
+MARKS = frozenset(".,;:!?")
 BATCH_CHARS = 4_000_000
 
 
+def latin(text: str) -> bool:
+    """Only letters of Latin alphabets, composed (all below U+0250 are in composed form)."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
+class Chunks(dict):
+    """Ids of chunks; a chunk that isn't known is put together from parts that may be."""
+
+    def __init__(self, owner: ChunkEncoder, lead: str):
+        super().__init__()
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.owner.parts(self, chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts by the library, each different chunk of a text once.
 
     A chunk is a stretch between places where the tokenizer's own pre-tokenizer always
     cuts, so that a text's ids are its chunks' ids one after the other:
 
-    * a word pattern without white space: white space is such a place;
+    * a word pattern without white space: white space is such a place, and so are the sides
+      of a mark that follows letters and ends a chunk; case doesn't count;
     * a byte-level pattern that ties one blank to the word after it: before every blank,
-      where no two blanks follow each other.
+      where no two blanks follow each other, the sides of a line end between other
+      characters, and those of a mark as above.
 
     Texts for which that doesn't hold, and other tokenizers, go to the library whole.
-    The cache holds at most `limit` chunks of at most 64 characters.
+    Letters of Latin alphabets, in lower case where case doesn't count, go to a copy of the
+    tokenizer without the normaliser and the pattern, which do nothing to them. The two
+    tables together hold some `limit` chunks of at most 64 characters.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         quiet_threads()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for x in (self.tokenizer, self.plain):
+            x.model._resize_cache(0)  # chunks are kept here
         with open(path, encoding="utf-8") as f:
             self.rule = self.find_rule(json.load(f))
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 65_536 else np.dtype("<u4")
-        self.limit, self.cache, self.heads = limit, {}, {}
+        self.code, self.dtype = ("H", np.dtype("<u2")) if self.tokenizer.get_vocab_size() < 65_536 else ("I", np.dtype("<u4"))
+        self.limit, self.heads = limit, Chunks(self, "")
+        self.cache = Chunks(self, " ") if self.rule == "blank" else self.heads
 
     @staticmethod
     def find_rule(spec: dict) -> str:
@@ -52,7 +82,7 @@ class ChunkEncoder:
             return "blank"
         parts = pre.get("pretokenizers", [])
         kinds = {x["type"] for x in (norm or {}).get("normalizers", [])}
-        if parts and parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN and parts[0]["invert"] and kinds <= {"NFC", "Replace", "Lowercase"}:
+        if parts and parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN and parts[0]["invert"] and kinds <= {"NFC", "Replace", "Lowercase"} and parts[1:] and parts[1]["type"] == "ByteLevel":
             return "word"
         return "whole"
 
@@ -63,48 +93,38 @@ class ChunkEncoder:
             return text.split(" ")
         return None
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str], cache: dict, lead: str) -> None:
-        new = list(chunks)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            cache.update(zip(part, self.ids([lead + x for x in part]), strict=True))
+    def ids(self, text: str, by=None) -> bytes:
+        return array(self.code, (by or self.tokenizer).encode(text, add_special_tokens=False).ids).tobytes()
+
+    def parts(self, table: Chunks, chunk: str) -> bytes:
+        """Ids of a chunk that isn't known."""
+        if self.rule == "word" and "\u03a3" not in chunk and (low := chunk.lower()) != chunk:
+            return table[low]
+        if latin(chunk):
+            return self.ids(table.lead + chunk, self.plain)
+        if chunk[-1:] in MARKS and latin(chunk[:-1]):
+            return table[chunk[:-1]] + self.heads[chunk[-1]]
+        lines = chunk.split("\n")
+        if self.rule == "blank" and len(lines) > 1 and all(x and x.split() == [x] for x in lines):
+            end = self.heads["\n"]
+            return table[lines[0]] + b"".join([end + self.heads[x] for x in lines[1:]])
+        return self.ids(table.lead + chunk) if chunk or table.lead else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.dtype."""
-        for cache in (self.cache, self.heads):
-            if len(cache) > self.limit:
-                cache.clear()
-        rows, new, first, whole = [], set(), set(), []
-        for t in texts:
-            row = self.split(t)
-            rows.append(row)
-            if row is None:
-                whole.append(t)
-                continue
-            if self.rule == "blank":
-                first.add(row[0])
-                row = rows[-1] = (row[0], row[1:])
-                new |= set(row[1]).difference(self.cache)
-            else:
-                new |= set(row).difference(self.cache)
-        lead = " " if self.rule == "blank" else ""
-        self.learn(new, self.cache, lead)
-        self.learn(first.difference(self.heads), self.heads, "")
-        rest, get, out = iter(self.ids(whole)), self.cache.__getitem__, []
-        for row in rows:
+        if len(self.heads) > self.limit // 3 and self.cache is not self.heads:
+            self.heads.clear()
+        if len(self.cache) + len(self.heads) * (self.cache is not self.heads) > self.limit:
+            self.cache.clear()
+        out, get = [], self.cache.__getitem__
+        for text in texts:
+            row = self.split(text)
             if row is None:
-                out.append(next(rest))
+                out.append(self.ids(text))
             elif self.rule == "blank":
-                out.append(self.heads[row[0]] + b"".join(map(get, row[1])))
+                out.append(self.heads[row[0]] + b"".join(map(get, row[1:])))
             else:
                 out.append(b"".join(map(get, row)))
-        for cache, keys in ((self.cache, new), (self.heads, first)):
-            for x in keys:
-                if len(x) > CHUNK_CHARS:
-                    cache.pop(x, None)
         return out
 
 
