@@ -1,4 +1,4 @@
-"""Sends the package to the executors."""
+"""Sends the package to the executors and bounds what they hold at once."""
 
 from __future__ import annotations
 
@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+#: Bytes of rows that a Python worker gets at a time; texts can be long.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers; once an application."""
+    """Makes this package importable in Python workers, once an application, and bounds the
+    batches they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
