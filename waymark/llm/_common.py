@@ -54,7 +54,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """Word to 64-bit hash; keeps at most `limit` short words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
