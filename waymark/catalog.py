@@ -5,13 +5,369 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "status_counts"
+from waymark.functions import geometry
+from waymark.operators import decision, evaluate, graph, intervals, jobs, lifecycle, match, raster, robust, sequence
+from waymark.sources import tables, text_lists
 
+FLAGSHIP = "lifecycle_event_counts"
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderstatus").count().withColumnRenamed("count", "n")}
+
+def _register(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
+    return dict(_sql)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_FIXED = f"""{tables.OBSERVATIONS_SQL},
+    near AS (SELECT *, lag(status) OVER w AS p, lead(status) OVER w AS q FROM obs WINDOW w AS (PARTITION BY road_id ORDER BY period)),
+    fixed AS (SELECT * REPLACE (CASE WHEN p = 'present' AND status = 'absent' AND q = 'present' THEN 'uncertain' ELSE status END AS status),
+                     coalesce(p = 'present' AND status = 'absent' AND q = 'present', false) AS dropout FROM near)"""
+_EVENTS = f"""{_FIXED},
+    pairs AS (SELECT road_id, lag(period) OVER w AS from_per, period AS to_per, lag(status) OVER w AS before_st, status AS after_st, lag(width_m) OVER w AS before_w, width_m AS after_w
+              FROM fixed WINDOW w AS (PARTITION BY road_id ORDER BY period)),
+    typed AS (SELECT *, after_w - before_w AS width_diff, abs(after_w - before_w) >= 2 AND abs(after_w - before_w) / greatest(before_w, after_w, CAST(0.1 AS DOUBLE)) >= CAST(0.2 AS DOUBLE) AS ch FROM pairs WHERE from_per IS NOT NULL),
+    events_ AS (SELECT *, CASE WHEN before_st = 'uncertain' OR after_st = 'uncertain' THEN 'uncertain' WHEN before_st = 'absent' AND after_st = 'present' THEN 'added' WHEN before_st = 'present' AND after_st = 'absent' THEN 'removed'
+                       WHEN before_st = 'present' AND after_st = 'present' AND ch AND width_diff > 0 THEN 'widened' WHEN before_st = 'present' AND after_st = 'present' AND ch THEN 'narrowed' END AS event_typ FROM typed)"""
+
+
+def _fixed(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.correct_dropouts(tables.observations(spark, d))
+
+
+@_register(f"WITH {_EVENTS} SELECT event_typ, count(*) AS n FROM events_ WHERE event_typ IS NOT NULL GROUP BY 1")
+def lifecycle_event_counts(spark, d):
+    return lifecycle.transitions(_fixed(spark, d)).groupBy("event_typ").agg(F.count("*").alias("n"))
+
+
+@_register(f"WITH {_EVENTS} SELECT road_id, from_per, to_per, before_st, after_st, event_typ, round(width_diff, 4) AS width_diff FROM events_ WHERE event_typ IS NOT NULL")
+def lifecycle_events(spark, d):
+    e = lifecycle.transitions(_fixed(spark, d))
+    return _rounded(e.select("road_id", "from_per", "to_per", "before_st", "after_st", "event_typ", "width_diff"), "width_diff", digits=4)
+
+
+@_register(f"WITH {_FIXED} SELECT road_id, min(period) FILTER (status = 'present') AS first_obs, max(period) FILTER (status = 'present') AS last_obs, count(*) FILTER (status = 'present') AS present_n, round(max(confidence), 6) AS max_conf, round(min(confidence), 6) AS min_conf, CAST(max(CAST(status = 'uncertain' AS INT)) AS INT) AS review FROM fixed GROUP BY 1")
+def lifecycle_table(spark, d):
+    return _rounded(lifecycle.life_table(_fixed(spark, d)), "max_conf", "min_conf", digits=6)
+
+
+@_register(f"WITH {_FIXED} SELECT road_id, period FROM fixed WHERE dropout")
+def single_dropouts(spark, d):
+    return _fixed(spark, d).where("dropout").select("road_id", "period")
+
+
+@_register("WITH p AS (SELECT DISTINCT CAST(ts AS DATE) AS period FROM events), q AS (SELECT lag(period) OVER (ORDER BY period) AS before, period AS after FROM p) SELECT before, after FROM q WHERE before IS NOT NULL")
+def period_pairs(spark, d):
+    return lifecycle.adjacent_pairs(tables.load(spark, d, "events").select(F.to_date("ts").alias("period")).distinct())
+
+
+@_register(f"WITH {_FIXED} SELECT road_id, " + ", ".join(f"coalesce(max(status) FILTER (day(period) = {i}), '0') AS d{i:02d}" for i in range(1, 8)) + " FROM fixed GROUP BY 1")
+def status_pivot(spark, d):
+    names = [f"d{i:02d}" for i in range(1, 8)]
+    obs = _fixed(spark, d).withColumn("period_name", F.concat(F.lit("d"), F.lpad(F.dayofmonth("period").cast("string"), 2, "0")))
+    return lifecycle.status_pivot(obs, names)
+
+
+@_register(f"WITH {tables.SAMPLES_SQL}, a AS (SELECT *, median(width) OVER (PARTITION BY chain_id) AS m FROM s WHERE width > 0), b AS (SELECT *, median(abs(width - m)) OVER (PARTITION BY chain_id) AS mad FROM a) SELECT chain_id, median(width) AS median, round(stddev_pop(width), 5) AS std, count(*) AS n FROM b WHERE mad <= 0 OR abs(width - m) <= 3.5 * CAST(1.4826 AS DOUBLE) * mad GROUP BY 1")
+def robust_widths(spark, d):
+    return _rounded(robust.clipped_stats(tables.width_samples(spark, d), "chain_id", "width"), "std")
+
+
+@_register(f"WITH {tables.SAMPLES_SQL}, g AS (SELECT chain_id, width, sum(CAST(support AS DECIMAL(28,4))) AS w FROM s WHERE support > 0 GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY chain_id ORDER BY width ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY chain_id) AS total FROM g) SELECT chain_id, min(width) AS weighted_median FROM r WHERE run * 2 >= total GROUP BY 1")
+def weighted_median_widths(spark, d):
+    return robust.weighted_median(tables.width_samples(spark, d), "chain_id", "width", "support")
+
+
+@_register(f"WITH {tables.SAMPLES_SQL} SELECT chain_id, sample_index, round((rank() OVER (PARTITION BY chain_id ORDER BY width) - 1) / CAST(count(*) OVER (PARTITION BY chain_id) AS DOUBLE), 6) AS strict_rank, round((rank() OVER (PARTITION BY chain_id ORDER BY width) - 1 + 0.5 * count(*) OVER (PARTITION BY chain_id, width)) / CAST(count(*) OVER (PARTITION BY chain_id) AS DOUBLE), 6) AS mid_rank FROM s")
+def empirical_ranks(spark, d):
+    s = tables.width_samples(spark, d)
+    out = s.select("chain_id", "sample_index", robust.strict_rank(s, "chain_id", "width").alias("strict_rank"), robust.mid_rank("chain_id", "width").alias("mid_rank"))
+    return _rounded(out, "strict_rank", "mid_rank", digits=6)
+
+
+@_register(f"WITH {tables.SAMPLES_SQL}, n AS (SELECT *, list(width) OVER (PARTITION BY chain_id ORDER BY sample_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM s), m AS (SELECT *, list_median(near) AS med FROM n), k AS (SELECT *, list_median([abs(x - med) FOR x IN near]) AS mad FROM m) SELECT chain_id, sample_index, med AS rolling_median, len(near) >= 3 AND abs(width - med) > greatest(1.0, 3.0 * CAST(1.4826 AS DOUBLE) * mad) AS outlier FROM k")
+def rolling_hampel(spark, d):
+    return robust.hampel(tables.width_samples(spark, d), "chain_id", "sample_index", "width").select("chain_id", "sample_index", "rolling_median", "outlier")
+
+
+@_register(f"WITH {tables.SAMPLES_SQL}, m AS (SELECT chain_id, median(width) AS m FROM s WHERE width > 0 GROUP BY 1) SELECT chain_id, sample_index, round(least(greatest(width, m * CAST(0.65 AS DOUBLE)), m * CAST(1.35 AS DOUBLE)), 5) AS clamped FROM s LEFT JOIN m USING (chain_id)")
+def clamped_widths(spark, d):
+    return _rounded(robust.group_clamp(tables.width_samples(spark, d), "chain_id", "width").select("chain_id", "sample_index", "clamped"), "clamped")
+
+
+@_register(f"WITH {tables.SAMPLES_SQL} SELECT count(width) FILTER (width > 0) AS n, quantile_cont(width, 0.5) FILTER (width > 0) AS median, round(avg(width) FILTER (width > 0), 5) AS mean, quantile_cont(width, 0.1) FILTER (width > 0) AS p10, quantile_cont(width, 0.9) FILTER (width > 0) AS p90 FROM s")
+def global_width_summary(spark, d):
+    return _rounded(robust.width_summary(tables.width_samples(spark, d), "width"), "mean")
+
+
+_PART = "v AS (SELECT p_partkey AS id, (p_size % 11) / 10.0e0 AS g, (p_size % 7) / 6.0e0 AS s, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 13) / 12.0e0 END AS v, (p_size % 9) / 8.0e0 AS r, (p_size % 6) / 5.0e0 AS c FROM part)"
+
+
+def _evidence(spark, d):
+    n = lambda k, u: (F.col("p_size") % k) / F.lit(float(u))
+    return tables.load(spark, d, "part").select(F.col("p_partkey").alias("id"), n(11, 10).alias("g"), n(7, 6).alias("s"), F.when(F.col("p_size") % 5 != 0, n(13, 12)).alias("v"), n(9, 8).alias("r"), n(6, 5).alias("c"))
+
+
+@_register(f"""WITH {_PART} SELECT id, CASE WHEN g >= 0.5 OR (r >= 0.9 AND c >= 0.3) OR s >= 0.55 THEN 'present' WHEN v >= 0.9 AND g <= 0.1 AND s <= 0.1 THEN 'absent' ELSE 'uncertain' END AS state,
+    CASE WHEN g >= 0.5 THEN 'geometry_match_strong' WHEN r >= 0.9 AND c >= 0.3 THEN 'reference_centerline_missing_but_probability_present' WHEN s >= 0.55 THEN 'reference_centerline_missing_but_surface_present' WHEN v IS NULL THEN 'valid_observation_unknown'
+         WHEN v < 0.8 THEN 'invalid_or_nodata_reference' WHEN v >= 0.9 AND g <= 0.1 AND s <= 0.1 THEN 'true_absence_confirmed' ELSE 'insufficient_negative_evidence' END AS reason FROM v""")
+def existence_evidence(spark, d):
+    e = _evidence(spark, d)
+    return e.select("id", decision.existence(*[F.col(c) for c in "gsvrc"]).alias("x")).select("id", "x.state", "x.reason")
+
+
+@_register("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'hard_veto' WHEN s >= 70 THEN 'auto_accept' WHEN s >= 50 THEN 'medium_confidence_auto' ELSE 'manual_review' END AS band FROM (SELECT *, o_orderkey % 101 AS s FROM orders)")
+def score_bands(spark, d):
+    return tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), decision.score_band(F.col("o_orderkey") % 101, F.col("o_orderstatus") == "P").alias("band"))
+
+
+@_register(f"WITH {tables.SAMPLES_SQL} SELECT chain_id, sample_index, round(CASE grade WHEN 'A' THEN 3.0 WHEN 'B' THEN 2.0 ELSE 1.0 END + 0.25e0 * least(greatest(width / 40.0, support / 60000.0, 0.0), 1.0), 5) AS score FROM s")
+def graded_scores(spark, d):
+    s = tables.width_samples(spark, d)
+    return _rounded(s.select("chain_id", "sample_index", decision.grade_score(F.col("grade"), F.col("width") / 40.0, F.col("support") / 60000.0).alias("score")), "score")
+
+
+@_register("SELECT event_id, CASE WHEN try_cast(v AS DOUBLE) > 0 THEN 'added' WHEN try_cast(v AS DOUBLE) < 0 THEN 'removed' END AS change FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN CAST(-event_id AS VARCHAR) WHEN 2 THEN '0' ELSE CAST(event_id AS VARCHAR) END AS v FROM events)")
+def change_codes(spark, d):
+    k = F.col("event_id") % 4
+    v = F.when(k == 0, "x").when(k == 1, (-F.col("event_id")).cast("string")).when(k == 2, "0").otherwise(F.col("event_id").cast("string"))
+    return tables.load(spark, d, "events").select("event_id", decision.change_class(v).alias("change"))
+
+
+_CONF = "c AS (SELECT d.source AS class, count(*) FILTER (l.quality = 1 AND p) AS tp, count(*) FILTER (l.quality <> 1 AND p) AS fp, count(*) FILTER (l.quality = 1 AND NOT p) AS fn, count(*) FILTER (l.quality <> 1 AND NOT p) AS tn FROM labels l JOIN (SELECT *, n_chars > (SELECT median(n_chars) FROM documents) AS p FROM documents) d USING (doc_id) GROUP BY 1)"
+
+
+def _judged(spark, d):
+    docs = tables.load(spark, d, "documents")
+    middle = docs.agg(F.median("n_chars").alias("middle"))
+    rows = docs.select("doc_id", "source", "n_chars").join(F.broadcast(middle), how="cross")  # one row
+    return rows.join(tables.load(spark, d, "labels"), "doc_id").select(F.col("source").alias("class"), "quality", (F.col("n_chars") > F.col("middle")).cast("int").alias("predicted"))
+
+
+@_register(f"WITH {_CONF}, m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS r FROM c) SELECT class, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, round(CASE WHEN tp + fp + fn > 0 THEN tp / CAST(tp + fp + fn AS DOUBLE) ELSE 1.0 END, 6) AS iou, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy FROM m")
+def class_metrics(spark, d):
+    return _rounded(evaluate.with_metrics(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", "f1", "iou", "accuracy", digits=6)
+
+
+@_register(f"WITH {_CONF} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, count(*) AS tasks, round(sum(tp) / CAST(sum(tp) + sum(fp) AS DOUBLE), 6) AS precision, round(sum(tp) / CAST(sum(tp) + sum(fn) AS DOUBLE), 6) AS recall FROM c")
+def pooled_metrics(spark, d):
+    return _rounded(evaluate.pooled(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", digits=6)
+
+
+_MERGED = f"""{tables.INTERVALS_SQL},
+    a AS (SELECT *, CASE WHEN start <= max("end") OVER w + CAST(0.05 AS DOUBLE) THEN 0 ELSE 1 END AS fresh FROM i WHERE "end" - start > 1e-6 WINDOW w AS (PARTITION BY line_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY line_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM a),
+    merged AS (SELECT line_id, min(start) AS start, max("end") AS "end" FROM b GROUP BY line_id, island)"""
+
+
+@_register(f'WITH {_MERGED} SELECT line_id, start, "end" FROM merged')
+def merged_intervals(spark, d):
+    return intervals.merge(tables.intervals(spark, d), "line_id")
+
+
+@_register(f"""WITH {_MERGED}, l AS (SELECT line_id, max("end") + 5 AS length FROM i GROUP BY 1), x AS (SELECT line_id, greatest(start, 0) AS start, least("end", length) AS "end" FROM merged JOIN l USING (line_id) UNION ALL SELECT line_id, length, length FROM l),
+    g AS (SELECT line_id, coalesce(lag("end") OVER (PARTITION BY line_id ORDER BY start, "end"), 0) AS gap_start, start AS gap_end FROM x) SELECT * FROM g WHERE gap_end - gap_start > 1e-6""")
+def interval_gaps(spark, d):
+    i = tables.intervals(spark, d)
+    return intervals.complement(intervals.merge(i, "line_id"), "line_id", i.groupBy("line_id").agg((F.max("end") + 5).alias("length")))
+
+
+@_register("WITH n AS (SELECT p_partkey AS id, p_retailprice AS length, CAST(least(greatest(ceil(p_retailprice / 50.0) + 1, 3), 101) AS INT) AS n FROM part) SELECT id, CAST(k AS INT) AS k, round(length * k / (n - 1), 5) AS at FROM (SELECT *, unnest(range(0, n)) AS k FROM n)")
+def even_samples(spark, d):
+    p = tables.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("length"))
+    return _rounded(intervals.even_samples(p, "length", 50.0).select("id", "k", "at"), "at")
+
+
+_PAIRS = f"{tables.POINTS_SQL}, q AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM p a, p b WHERE a.label < 5 AND b.label >= 5), pairs AS (SELECT * FROM q WHERE distance <= 3)"
+
+
+def _pairs(spark, d):
+    p = tables.points(spark, d)
+    a = p.where("label < 5").select(F.col("vec_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.where("label >= 5").select(F.col("vec_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return match.pairs_within(a, b, 3.0).select("a_id", "b_id", "distance")
+
+
+@_register(f"WITH {_PAIRS} SELECT a_id, b_id, round(distance, 6) AS distance FROM pairs")
+def distance_join(spark, d):
+    return _rounded(_pairs(spark, d), "distance", digits=6)
+
+
+@_register(f"WITH {_PAIRS} SELECT a_id, b_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS r FROM pairs) WHERE r = 1")
+def nearest_join(spark, d):
+    return _rounded(match.nearest(_pairs(spark, d)), "distance", digits=6)
+
+
+@_register(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS ra, row_number() OVER (PARTITION BY b_id ORDER BY distance, a_id) AS rb FROM pairs) SELECT a_id, b_id, round(distance, 6) AS distance FROM r WHERE ra = 1 AND rb = 1")
+def mutual_nearest_join(spark, d):
+    return _rounded(match.mutual_nearest(_pairs(spark, d)), "distance", digits=6)
+
+
+@_register(f"WITH {_PAIRS}, r AS (SELECT *, min(distance) OVER (PARTITION BY a_id) AS ba, min(distance) OVER (PARTITION BY b_id) AS bb FROM pairs) SELECT a_id, b_id FROM r WHERE distance <= ba + CAST(0.5 AS DOUBLE) AND distance <= bb + CAST(0.5 AS DOUBLE)")
+def local_best_pairs(spark, d):
+    return match.local_best(_pairs(spark, d), 0.5).select("a_id", "b_id")
+
+
+@_register(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS r FROM pairs) SELECT a_id, round(min(distance), 6) AS best, round(max(distance) FILTER (r = 2), 6) AS runner_up, coalesce(max(distance) FILTER (r = 2) - min(distance) <= 0.25e0, false) AS ambiguous FROM r WHERE r <= 2 GROUP BY 1")
+def ambiguous_matches(spark, d):
+    return _rounded(match.ambiguous(_pairs(spark, d), 0.25), "best", "runner_up", digits=6)
+
+
+@_register()
+def greedy_matches(spark, d):
+    pairs = _pairs(spark, d)
+    # node ids of the two sides differ: a keeps its id, b becomes -1 - id
+    edges = pairs.select(F.col("a_id").alias("src"), (-1 - F.col("b_id")).alias("dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    parts = graph.components(nodes, edges).where("node >= 0").select(F.col("node").alias("a_id"), F.col("component").alias("part"))
+    return _rounded(match.greedy_one_to_one(pairs, parts), "distance", digits=6)
+
+
+_EDGES = f"{tables.POINTS_SQL}, g AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM p a, p b WHERE a.vec_id < b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1)"
+
+
+def _graph(spark, d):
+    p = tables.points(spark, d)
+    a = p.select(F.col("vec_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.select(F.col("vec_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return p.select(F.col("vec_id").alias("node")), graph.undirected(match.pairs_within(a, b, 1.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+
+
+@_register(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1")
+def graph_degrees(spark, d):
+    return graph.degrees(_graph(spark, d)[1])
+
+
+_PARTS = _EDGES.replace("p AS", "RECURSIVE p AS", 1) + ", e2 AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), reach AS (SELECT vec_id AS node, vec_id AS seen FROM p UNION SELECT r.node, e2.dst FROM reach r JOIN e2 ON r.seen = e2.src), parts AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)"
+
+
+@_register(f"WITH {_PARTS} SELECT node, component FROM parts")
+def graph_components(spark, d):
+    return graph.components(*_graph(spark, d))
+
+
+@_register(f"WITH {_PARTS}, dg AS (SELECT vec_id, count(src) AS degree FROM p LEFT JOIN e2 ON vec_id = src GROUP BY 1) SELECT (SELECT count(*) FROM p) AS nodes, (SELECT count(*) FROM g) AS edges, (SELECT count(DISTINCT component) FROM parts) AS components, (SELECT max(n) FROM (SELECT count(*) AS n FROM parts GROUP BY component)) AS largest, (SELECT count(*) FROM dg WHERE degree = 1) AS endpoints, (SELECT count(*) FROM dg WHERE degree = 0) AS isolated, (SELECT count(*) FROM dg WHERE degree >= 3) AS junctions")
+def graph_summary(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graph.summary(nodes, edges, graph.components(nodes, edges))
+
+
+_SPECS = "prior AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events WHERE event_id % 50 <> 0 GROUP BY ALL), cur AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events WHERE event_id % 70 <> 1 GROUP BY ALL)"
+
+
+def _specs(spark, d):
+    e = tables.load(spark, d, "events").select("user_id", F.to_date("ts").alias("period"), "event_id")
+    of = lambda rows: rows.groupBy("user_id", "period").agg(F.sum("event_id").alias("fingerprint"))
+    return of(e.where("event_id % 50 <> 0")), of(e.where("event_id % 70 <> 1"))
+
+
+@_register(f"WITH {_SPECS} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.period, b.period) AS period, CASE WHEN a.fingerprint IS NULL THEN 'added' WHEN b.fingerprint IS NULL THEN 'removed' ELSE 'changed' END AS change FROM prior a FULL JOIN cur b ON a.user_id = b.user_id AND a.period = b.period WHERE a.fingerprint IS DISTINCT FROM b.fingerprint")
+def specification_diff(spark, d):
+    return jobs.spec_diff(*_specs(spark, d), ["user_id", "period"])
+
+
+@_register("WITH h AS (SELECT * FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, c_name FROM h WHERE c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, c_name FROM n")
+def keyed_upsert(spark, d):
+    c = tables.load(spark, d, "customer").select("c_custkey", "c_name")
+    return jobs.upsert(c.where("c_custkey % 3 > 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
+
+
+@_register("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins(spark, d):
+    return _rounded(jobs.last_wins(tables.load(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"), "value", digits=6)
+
+
+@_register("WITH t AS (SELECT c_mktsegment AS seg, max(c_acctbal) AS v FROM customer WHERE c_nationkey < 12 GROUP BY 1) SELECT c_custkey, coalesce(CASE WHEN c_nationkey = 3 THEN -1.0 END, v) AS v FROM customer LEFT JOIN t ON seg = c_mktsegment")
+def wildcard_lookup(spark, d):
+    c = tables.load(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("string"))
+    own = c.where("c_nationkey = 3").select(F.col("nation"), "c_mktsegment", F.lit(-1.0).alias("v")).distinct()
+    every = c.where("c_nationkey < 12").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("v")).select(F.lit("*").alias("nation"), "c_mktsegment", "v")
+    return jobs.wildcard_lookup(c.select("c_custkey", "nation", "c_mktsegment"), own.unionByName(every), "nation", "c_mktsegment", "v").select("c_custkey", "v")
+
+
+@_register(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_number, unnest(x) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)), b AS (SELECT doc_id, line_number, trim(replace(raw, chr(65279), ''), ' ') AS bare FROM l),
+    e AS (SELECT *, trim(regexp_replace(regexp_replace(bare, '^"(.*)"$', '\1'), '^''(.*)''$', '\1'), ' ') AS entry FROM b) SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, entry FROM e WHERE bare <> '' AND bare[1] <> '#' AND entry <> ''""")
+def path_list_lines(spark, d):
+    return text_lists.list_lines(tables.load(spark, d, "documents"), "doc_id", "text")
+
+
+@_register(r"SELECT page_id, regexp_replace(regexp_replace(url, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name FROM pages")
+def sanitised_names(spark, d):
+    return tables.load(spark, d, "pages").select("page_id", text_lists.clean_name(F.col("url")).alias("name"))
+
+
+@_register("SELECT raw, 0 AS class, CAST(replace(raw, '-', '') AS INT) AS ordinal, CAST(length(replace(raw, '-', '')) AS INT) AS granularity FROM (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y%m%d') END AS raw FROM orders)")
+def parsed_periods(spark, d):
+    o = tables.load(spark, d, "orders")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return o.select(raw.alias("raw")).distinct().select("raw", text_lists.period_key(F.col("raw")).alias("k")).select("raw", "k.class", "k.ordinal", "k.granularity")
+
+
+@_register("SELECT c_custkey, sha256('seed|' || c_custkey) AS rank_hash FROM customer ORDER BY 2 LIMIT 50")
+def hash_ranked_sample(spark, d):
+    return text_lists.hash_sample(tables.load(spark, d, "customer").select("c_custkey"), "c_custkey", "seed", 50)
+
+
+_PIXELS = "px AS (SELECT vec_id AS tile_id, label, (k // 8) AS r, (k % 8) AS c, least(greatest((CAST(v AS DOUBLE) + 0.6e0) / 1.2e0, 0.0), 1.0) AS v FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS k FROM embeddings))"
+
+
+def _pixels(spark, d):
+    e = tables.load(spark, d, "embeddings")
+    scaled = F.transform("embedding", lambda v: F.least(F.greatest((v.cast("double") + 0.6) / 1.2, F.lit(0.0)), F.lit(1.0)))
+    return raster.pixels(e.select(F.col("vec_id").alias("tile_id"), scaled.alias("values")), 8).join(e.select(F.col("vec_id").alias("tile_id"), "label"), "tile_id")
+
+
+@_register(f"WITH {_PIXELS}, w AS (SELECT *, least(greatest(least(r + 1, 8 - r, c + 1, 8 - c) / 4.0e0, 0.05e0), 1.0e0) AS w FROM px) SELECT label, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(w * v) / sum(w), 6) AS value FROM w GROUP BY ALL")
+def feathered_mosaic(spark, d):
+    return _rounded(raster.feathered_mean(_pixels(spark, d), ["label", "row", "col"], 8, 8, 4.0), "value", digits=6)
+
+
+@_register(f"WITH {_PIXELS} SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(arg_max(v, tile_id), 6) AS value FROM px GROUP BY ALL")
+def last_wins_mosaic(spark, d):
+    return _rounded(raster.last_wins_mosaic(_pixels(spark, d), "tile_id"), "value", digits=6)
+
+
+@_register(f"WITH {_PIXELS} SELECT label AS zone, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.25), 6) AS q25, count(*) AS n FROM px GROUP BY 1")
+def zonal_statistics(spark, d):
+    return _rounded(raster.zonal(_pixels(spark, d).withColumnRenamed("label", "zone"), "zone"), "mean", "q25", digits=6)
+
+
+@_register(f"WITH {_PIXELS} SELECT p.tile_id, CAST(p.r AS INT) AS row, CAST(p.c AS INT) AS col FROM px p WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.tile_id = p.tile_id AND abs(q.r - p.r) <= 1 AND abs(q.c - p.c) <= 1 AND q.v > p.v)")
+def local_maxima(spark, d):
+    return raster.local_maxima(_pixels(spark, d)).select("tile_id", "row", "col")
+
+
+@_register(f"WITH {tables.POINTS_SQL} SELECT vec_id, round(CASE WHEN n > 0 THEN least(abs(x + y) / (n * sqrt(2.0)), 1.0) ELSE 0.5 END, 6) AS cosine FROM (SELECT *, sqrt(x * x + y * y) AS n FROM p)")
+def direction_scores(spark, d):
+    p = tables.points(spark, d)
+    return _rounded(p.select("vec_id", geometry.abs_cosine(F.col("x"), F.col("y"), F.lit(1.0), F.lit(1.0)).alias("cosine")), "cosine", digits=6)
+
+
+@_register()
+def width_runs(spark, d):
+    return _rounded(sequence.run_table(tables.width_samples(spark, d).select("chain_id", "sample_index", "width")), "width")
+
+
+@_register()
+def width_segments(spark, d):
+    return _rounded(sequence.segment_table(tables.width_samples(spark, d).select("chain_id", "sample_index", "width")), "width")
