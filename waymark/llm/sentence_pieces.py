@@ -61,7 +61,7 @@ class Vocabulary:
 
 
 class PieceEncoder:
-    def __init__(self, vocabulary: Vocabulary, limit: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 1_500_000):
         self.v, self.limit = vocabulary, limit
         self.word = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if vocabulary.splits else re.compile(r".+", re.S)
         by_size: dict[int, list[tuple[int, int]]] = {}
@@ -164,7 +164,7 @@ class PieceEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > self.limit:
             self.cache.clear()
-        if len(self.pairs) > 2 * self.limit:
+        if len(self.pairs) > self.limit:
             self.pairs.clear()
         rows, new = [], set()
         for t in texts:
