@@ -85,8 +85,9 @@ def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     gone = materialise(rows.where(~F.col("stays") | (F.col("n") > 1)), "digests-gone")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
     marked = docs.withColumn("_own", digest())
-    kept = marked.join(gone, same, "left_anti")
+    # what goes may be any share of the rows: never broadcast
+    kept = marked.join(gone.hint("merge"), same, "left_anti")
     again = gone.where("stays")  # repeated rows of which one stays
     if not again.isEmpty():
-        kept = kept.unionByName(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"]))
+        kept = kept.unionByName(marked.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_own"]))
     return kept.drop("_own")
