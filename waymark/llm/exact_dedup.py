@@ -81,13 +81,13 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without the rows that dedup() drops; all columns stay."""
-    rows = judge(docs, index).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "stays", "n")
+    rows = judge(docs, index).select(F.col("doc_id").alias("__waymark_id"), F.col("digest").alias("__waymark_digest"), "stays", "n")
     gone = materialise(rows.where(~F.col("stays") | (F.col("n") > 1)), "digests-gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    marked = docs.withColumn("_own", digest())
+    same = F.col("doc_id").eqNullSafe(F.col("__waymark_id")) & (F.col("__waymark_own") == F.col("__waymark_digest"))
+    marked = docs.withColumn("__waymark_own", digest())
     # what goes may be any share of the rows: never broadcast
     kept = marked.join(gone.hint("merge"), same, "left_anti")
     again = gone.where("stays")  # repeated rows of which one stays
     if not again.isEmpty():
-        kept = kept.unionByName(marked.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_own"]))
-    return kept.drop("_own")
+        kept = kept.unionByName(marked.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__waymark_own"]))
+    return kept.drop("__waymark_own")
