@@ -278,3 +278,24 @@ def test_pipeline(spark, sf_dir):
         kept = new
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_near_classes_are_the_components_of_all_candidate_links(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # edits of one text: many pairs lie just under or over the threshold
+        words = list(base)
+        for i in rng.choice(120, rng.integers(1, 6), replace=False):
+            words[i] = f"v{rng.integers(1000)}"
+        texts.append(" ".join(words))
+    sketches = [near_dedup.sketch(near_dedup.shingles(near_dedup.word_hashes(t))) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if (sketches[a] == sketches[b]).sum() >= near_dedup.AGREE and near_dedup.similarity(texts[a], texts[b], 0.8) is not None:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).select("doc_id", "class_id").collect()}
+    assert got == dict(enumerate(root))
