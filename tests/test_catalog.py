@@ -49,3 +49,13 @@ def test_entry(spark):
 
 def test_oracles_have_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_status_calendar_has_every_period(spark, tmp_path):
+    days = [datetime.datetime(2024, m, k, 12) for m, k in ((1, 9), (1, 31), (2, 1), (2, 9))]
+    rows = [(i, day, 1, 1.0) for i, day in enumerate(days)] + [(9, days[3], 1, 1.0), (10, days[0], 2, 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["status_calendar"](spark, str(tmp_path))
+    assert got.columns == ["road_id", "d20240109", "d20240131", "d20240201", "d20240209"]
+    u, a = "uncertain", "absent"
+    assert sorted(map(tuple, got.collect())) == [(1, u, u, u, "present"), (2, u, a, a, a)]

@@ -88,6 +88,14 @@ def status_pivot(spark, d):
     return lifecycle.status_pivot(obs, names)
 
 
+# status_pivot's SQL names days 1 to 7; this one has a column for each period of the calendar
+@_register(f"WITH {_FIXED} PIVOT fixed ON strftime(period, 'd%Y%m%d') USING coalesce(max(status), '0') GROUP BY road_id")
+def status_calendar(spark, d):
+    obs = _fixed(spark, d).withColumn("period_name", F.date_format("period", "'d'yyyyMMdd"))
+    calendar = tables.load(spark, d, "events").select(F.date_format(F.to_date("ts"), "'d'yyyyMMdd").alias("name")).where("name IS NOT NULL").distinct()
+    return lifecycle.status_pivot(obs, sorted(r.name for r in calendar.collect()))
+
+
 @_register(f"WITH {tables.SAMPLES_SQL}, a AS (SELECT *, median(width) OVER (PARTITION BY chain_id) AS m FROM s WHERE width > 0), b AS (SELECT *, median(abs(width - m)) OVER (PARTITION BY chain_id) AS mad FROM a) SELECT chain_id, median(width) AS median, round(stddev_pop(width), 5) AS std, count(*) AS n FROM b WHERE mad <= 0 OR abs(width - m) <= 3.5 * CAST(1.4826 AS DOUBLE) * mad GROUP BY 1")
 def robust_widths(spark, d):
     return _rounded(robust.clipped_stats(tables.width_samples(spark, d), "chain_id", "width"), "std")

@@ -39,8 +39,9 @@ def life_table(obs: DataFrame) -> DataFrame:
 
 
 def status_pivot(obs: DataFrame, periods: list[str]) -> DataFrame:
-    """Wide table: status of each entity in each of the named periods, default 0."""
-    return obs.groupBy("road_id").pivot("period_name", periods).agg(F.first("status")).fillna("0")
+    """Wide table: status of each entity in each of the named periods, default 0. Of several
+    statuses under one name the largest is taken."""
+    return obs.groupBy("road_id").pivot("period_name", periods).agg(F.max("status")).fillna("0")
 
 
 def adjacent_pairs(periods: DataFrame) -> DataFrame:
