@@ -242,6 +242,17 @@ def test_skip_edges_carry_labels():
     assert pii.masked("a b@c.de d", [(0, 2, 8)]) == "a [EMAIL] d"
 
 
+def test_labels_reach_every_repeat_of_a_long_chain():
+    t = pii.tokens("bob7x plain words " * 30)
+    assert len(t.skip) == 29 and not len(t.chain)
+    field = pii.Field(np.zeros((len(pii.FORMS), 5)), np.zeros((5, 5)), 10.0)
+    fixed = np.zeros(30, np.int64)
+    fixed[0] = 1
+    # a pair keeps a label with chance e^10 / (e^10 + 4), another label has 1 / (e^10 + 4)
+    keep = (np.exp(10) - 1) / (np.exp(10) + 4)
+    assert np.allclose(pii.marginals(field, t, fixed)[:, 1], 0.2 + 0.8 * keep ** np.arange(30), atol=1e-4)
+
+
 def test_quality_on_held_out_rows(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.1")
     scored = QUERIES["op8_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "quality").toPandas()

@@ -170,8 +170,13 @@ def fit(documents: list[tuple[Tokens, np.ndarray]], rounds: int = 200, rate: flo
     return Field(own, chain, max(0.0, skip))
 
 
-def marginals(field: Field, t: Tokens, fixed: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Label marginals after loopy message passing; labels above 0 in fixed are held."""
+def marginals(field: Field, t: Tokens, fixed: np.ndarray, settled: float = 1e-6) -> np.ndarray:
+    """Label marginals after loopy message passing; labels above 0 in fixed are held.
+
+    Rounds are damped and go on until no message moves by `settled`, so a label gets to any
+    repeat, however many lie between. A round sends again only what isn't settled. Loops may
+    keep messages moving: rounds end at 200 and four a token, where a path of all tokens
+    takes two a token."""
     n = len(KINDS) + 1
     own = t.forms @ field.own
     own[fixed > 0] = -50.0
@@ -183,17 +188,23 @@ def marginals(field: Field, t: Tokens, fixed: np.ndarray, rounds: int = 10) -> n
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pair = np.concatenate([ahead, ahead.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    sent = np.zeros((len(source), n))
-    for _ in range(rounds):
-        total = own.copy()
-        np.add.at(total, target, sent)
-        new = (total[source] - sent[back])[:, :, None] + pair
+    sent, total, now = np.zeros((len(source), n)), own.copy(), np.arange(len(source))
+    for _ in range(200 + 4 * len(own)):
+        new = (total[source[now]] - sent[back[now]])[:, :, None] + pair[now]
         top = new.max(axis=1)
         new = top + np.log(np.exp(new - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        if np.abs(new - sent).max() < 1e-4:
+        step = new - new.max(axis=1, keepdims=True) - sent[now]
+        moved = np.abs(step).max(axis=1) > settled
+        if not moved.any():
             break
-        sent = 0.5 * sent + 0.5 * new
+        now, step = now[moved], 0.5 * step[moved]
+        sent[now] += step
+        np.add.at(total, target[now], step)
+        fresh = np.zeros(len(own), bool)
+        fresh[target[now]] = True
+        again = fresh[source]
+        again[now] = True
+        now = np.flatnonzero(again)
     total = own.copy()
     np.add.at(total, target, sent)
     return softmax(total)
