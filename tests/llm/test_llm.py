@@ -310,3 +310,16 @@ def test_near_classes_are_the_components_of_all_candidate_links(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).select("doc_id", "class_id").collect()}
     assert got == dict(enumerate(root))
+
+
+def test_near_dedup_links_short_texts_that_agree_in_two_sketches(spark):
+    rng, texts = random.Random(3), []
+    while len(texts) < 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        pair = " ".join(words[:8]), " ".join(words)
+        a, b = (near_dedup.sketch(near_dedup.shingles(near_dedup.word_hashes(t))) for t in pair)
+        if (a == b).sum() == 2:
+            texts += pair
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).select("doc_id", "class_id").collect()}
+    assert got == {i: i - i % 2 for i in range(8)}
