@@ -270,6 +270,15 @@ def test_main_text(spark):
     assert got == {1: "T & x\none two three\nx", 2: "T & y\none two three\ny", 3: "first", 4: "second", 5: "", 6: ""}
 
 
+def test_main_text_of_unmarked_copies_stays(spark):
+    bare = lambda *own: "<body><div>Welcome</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>Imprint</div>"
+    rows = [(1, "http://g/a/1", bare("story", "end")), (2, "http://g/a/2", bare("story", "end")), (3, "http://g/b", bare("other")), (4, "http://h/1", bare("x")), (4, "http://h/1", bare("x"))]
+    rows += [(5, "http://i/a/1", bare("first")), (6, "http://i/a/2", bare("long", "one")), (7, "http://i/a/2x", bare("long", "two"))]
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Welcome\nstory\nend\nImprint" and got[2] == "story\nend" and got[3] == "other"
+    assert got[4] == "Welcome\nx\nImprint" and got[6] == "long\none"
+
+
 def test_common_is_longest():
     random.seed(9)
     for _ in range(300):

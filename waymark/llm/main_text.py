@@ -9,7 +9,9 @@ Pages are sorted by host and URL path; a page's partner is that neighbour in its
 the longer common path (the one before, if equal). The two pages' lines are aligned by
 longest common subsequence and lines in common are template: deleted, but for prose inside
 an article, which copies of an article share (deleting it would lose text that the pages
-own). Where a page marks an article, lines outside it are dropped as well.
+own). Where a page marks an article, lines outside it are dropped as well. On a page that
+marks none, copies tell nothing: a neighbour of the same lines isn't its partner, and if
+both neighbours differ from it, only lines in common with both are template.
 
 Pages are dealt out by ranges of the sort key, and a range's first and last pages also go
 to the ranges beside it, so that partners don't depend on how pages are dealt out, and a
@@ -194,9 +196,11 @@ def lengths(row: int, m: int) -> list[int]:
     return out
 
 
-def shown(page: Page, partner: Page | None) -> str:
-    """Main text of a page, given the page nearest to it."""
+def shown(page: Page, partner: Page | None, further: Page | None = None) -> str:
+    """Main text of a page, given the page nearest to it and, if unmarked, the other one."""
     shared = common(page.hashes, partner.hashes) if partner else set()
+    if further:
+        shared &= common(page.hashes, further.hashes)
     own = [x for i, x in enumerate(page.lines) if not page.out[i] and (page.inside[i] or not page.marked) and (i not in shared or page.inside[i] and page.prose[i])]
     return "\n".join(own)
 
@@ -238,8 +242,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def text_of(before, row, after) -> tuple:
             near = [x for x in (before, after) if x and x["part"] == row["part"] and x["host"] == row["host"]]
+            if not row["page"].marked:
+                near = [x for x in near if x["page"].hashes != row["page"].hashes]
             partner = max(near, key=lambda x: shared_start(x["path"], row["path"]), default=None)
-            text = shown(row["page"], partner and partner["page"])
+            further = next((x["page"] for x in near if x is not partner and not row["page"].marked), None)
+            text = shown(row["page"], partner and partner["page"], further)
             return row["page_id"], row["url"], text, len(text)
 
         def batch(out):
