@@ -59,3 +59,12 @@ def test_status_calendar_has_every_period(spark, tmp_path):
     assert got.columns == ["road_id", "d20240109", "d20240131", "d20240201", "d20240209"]
     u, a = "uncertain", "absent"
     assert sorted(map(tuple, got.collect())) == [(1, u, u, u, "present"), (2, u, a, a, a)]
+
+
+def test_every_row_takes_part_in_versions(spark, sf_dir, duck):
+    keys = {r.c_custkey for r in catalog.queries()["keyed_upsert_all"](spark, sf_dir).collect()}
+    assert keys >= {k for (k,) in duck.execute("SELECT c_custkey FROM customer").fetchall()}
+    diff = [tuple(r) for r in catalog.queries()["specification_diff_all"](spark, sf_dir).collect()]
+    groups = duck.execute("SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events").fetchall()
+    assert {(-1 - u, p) for u, p, c in diff if c != "changed"} == set(groups)
+    assert {(u, p) for u, p, c in diff if c == "changed"} == {(u, p) for u, p in groups if u % 3}

@@ -300,6 +300,27 @@ def keyed_upsert(spark, d):
     return jobs.upsert(c.where("c_custkey % 3 > 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
 
 
+_VERSIONS = """g AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events GROUP BY ALL),
+    prior AS (SELECT * FROM g UNION ALL SELECT -1 - user_id, period, fingerprint FROM g WHERE user_id % 2 = 0),
+    cur AS (SELECT user_id, period, fingerprint + user_id % 3 AS fingerprint FROM g UNION ALL SELECT -1 - user_id, period, fingerprint FROM g WHERE user_id % 2 = 1)"""
+
+
+# all rows take part: every third key keeps its fingerprint; keys below 0 are added or removed
+@_register(f"WITH {_VERSIONS} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.period, b.period) AS period, CASE WHEN a.fingerprint IS NULL THEN 'added' WHEN b.fingerprint IS NULL THEN 'removed' ELSE 'changed' END AS change FROM prior a FULL JOIN cur b ON a.user_id = b.user_id AND a.period = b.period WHERE a.fingerprint IS DISTINCT FROM b.fingerprint")
+def specification_diff_all(spark, d):
+    g = tables.load(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("period")).agg(F.sum("event_id").alias("fingerprint"))
+    other = lambda odd: g.where(F.col("user_id") % 2 == odd).withColumn("user_id", -1 - F.col("user_id"))
+    return jobs.spec_diff(g.unionByName(other(0)), g.withColumn("fingerprint", F.col("fingerprint") + F.col("user_id") % 3).unionByName(other(1)), ["user_id", "period"])
+
+
+# all rows are held; even keys come anew, and each key comes once more below 0
+@_register("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name FROM customer UNION ALL SELECT -1 - c_custkey, c_name FROM customer")
+def keyed_upsert_all(spark, d):
+    c = tables.load(spark, d, "customer").select("c_custkey", "c_name")
+    new = c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name"))
+    return jobs.upsert(c, new.unionByName(c.withColumn("c_custkey", -1 - F.col("c_custkey"))), ["c_custkey"])
+
+
 @_register("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def last_wins(spark, d):
     return _rounded(jobs.last_wins(tables.load(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"), "value", digits=6)
