@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.plans.checkpoints import ensure_checkpoint_dir
+from waymark.plans.star import star_components
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -18,21 +18,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node). Rounds of smallest label with a jump to the
-    label's own label; each is checkpointed in spark.checkpoint.dir."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).persist()
-    labels = nodes.select("node", F.col("node").alias("component"))
-    while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("low"))
-        new = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        roots = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = new.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"), "old").checkpoint()
-        changed = not jumped.where("component <> old").isEmpty()
-        labels = jumped.select("node", "component")
-        if not changed:
-            both.unpersist()
-            return labels
+    """node, component (its smallest node) of every node; a node without edges is its own."""
+    roots = star_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
