@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import io
 import itertools
@@ -309,11 +310,11 @@ def test_near_classes_are_the_components_of_all_candidate_links(spark):
         for i in rng.choice(120, rng.integers(1, 6), replace=False):
             words[i] = f"v{rng.integers(1000)}"
         texts.append(" ".join(words))
-    sketches = [near_dedup.sketch(near_dedup.shingles(near_dedup.word_hashes(t))) for t in texts]
+    keys = [set(near_dedup.keys_of(near_dedup.shingles(near_dedup.word_hashes(t))).tolist()) for t in texts]
     root = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a + 1, len(texts)):
-            if (sketches[a] == sketches[b]).sum() >= near_dedup.AGREE and near_dedup.similarity(texts[a], texts[b], 0.8) is not None:
+            if keys[a] & keys[b] and near_dedup.similarity(texts[a], texts[b], 0.8) is not None:
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = [new if r == old else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -321,14 +322,73 @@ def test_near_classes_are_the_components_of_all_candidate_links(spark):
     assert got == dict(enumerate(root))
 
 
-def test_near_dedup_links_short_texts_that_agree_in_two_sketches(spark):
+def test_near_dedup_links_short_texts_that_share_one_key(spark):
     rng, texts = random.Random(3), []
     while len(texts) < 8:
         words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
         pair = " ".join(words[:8]), " ".join(words)
-        a, b = (near_dedup.sketch(near_dedup.shingles(near_dedup.word_hashes(t))) for t in pair)
-        if (a == b).sum() == 2:
+        a, b = (set(near_dedup.keys_of(near_dedup.shingles(near_dedup.word_hashes(t))).tolist()) for t in pair)
+        if 0 < len(a & b) < 7:
             texts += pair
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).select("doc_id", "class_id").collect()}
     assert got == {i: i - i % 2 for i in range(8)}
+
+
+def exact_links(texts):
+    """All pairs of different texts at 0.8, by the rarest fifth of each one's shingles."""
+    sets = [np.unique(near_dedup.shingles(near_dedup.word_hashes(t))).tolist() for t in texts]
+    often = collections.Counter(itertools.chain.from_iterable(sets))
+    holds = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-4 * len(s) // 5) + 1]:
+            holds[x].append(i)
+    met = {p for h in holds.values() for p in itertools.combinations(h, 2)}
+    return [(a, b) for a, b in met if near_dedup.similarity(texts[a], texts[b], 0.8) is not None]
+
+
+def test_near_dedup_recall_against_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    first = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    texts = list(first)
+    links = exact_links(texts)
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    hit = sum(found[first[texts[a]]] == found[first[texts[b]]] for a, b in links)
+    assert len(links) > 30 and hit >= 0.98 * len(links)
+    assert all(found[d] == found[first[t]] for d, t in rows)
+
+
+def test_near_dedup_of_one_large_group(spark):
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(700):  # most pairs lie around the threshold
+        words = list(base)
+        for i in rng.choice(150, rng.integers(1, 9), replace=False):
+            words[i] = f"v{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in exact_links(texts):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    classes = len({find(x) for x in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for every_pair, most in ((True, classes + 1), (False, classes + 3)):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs, every_pair=every_pair).collect()}
+        assert classes <= len(set(got.values())) <= most
+        assert all(find(d) == find(c) for d, c in got.items())
+
+
+def test_lowest_equals_a_sort():
+    rng = np.random.default_rng(4)
+    for n in (7, 40, 96, 500, 3000):
+        low = rng.integers(0, 2**64, (30, n), dtype=np.uint64)
+        assert (near_dedup.lowest(low, 6) == np.sort(np.argsort(low, axis=1)[:, :6], axis=1)).all()

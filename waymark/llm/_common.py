@@ -3,39 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.plans.checkpoints import discard, materialise, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset a temporary folder is used, but in local mode only: there the
-    driver is the one executor.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read from there: cuts the
-    lineage, survives lost executors, and fixes what a retried task might order anew."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["WordHashes", "discard", "let", "materialise", "new_path", "quiet_threads", "read_table", "shared_dir", "text_or_empty"]
 
 
 def let(value: Column, body) -> Column:
