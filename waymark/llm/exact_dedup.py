@@ -1,17 +1,22 @@
 """Exact dedup against a persistent index of digests.
 
-The index is a table bucketed and sorted by digest. New data is reduced to one row a
-digest (partial sums before the shuffle), joined by sort-merge anti-join with the index,
-which needs no shuffle of the index, and what is new is appended.
+The index is a table bucketed and sorted by digest; it lives in its folder and outlasts the
+session. New data is reduced to one row a digest (partial sums before the shuffle), joined
+by sort-merge anti-join with the index, which needs no shuffle of the index, and what is new
+is appended. Which document stays is then read from the index. A call takes its rows in
+batches, those of the largest doc_ids first, so what the index holds of a digest is the
+largest doc_id of the first call that brought it.
 
 Rules: texts are equal when identical; a null text is empty. Among equal texts of one
-call the largest doc_id stays (nulls are smallest), a digest that the index has keeps the
-document it came with. Rows repeated in full count in group_size, and one of them stays.
-Other columns are ignored. An empty table adds nothing.
+call the largest doc_id stays (nulls are smallest), a digest that the index has from an
+earlier call keeps the document it came with. Rows repeated in full count in group_size, and
+one of them stays. Other columns are ignored. An empty table adds nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,22 +33,54 @@ def digest(text: Column | None = None) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far: digest, keep_id, first_batch."""
-
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digests_{uuid.uuid4().hex}"
-        self.path = path or new_path(spark, "digest-index")
-
-    def table(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
-
-    def append(self, groups: DataFrame) -> None:
-        """groups: digest, keep_id; one row a digest. Adds those that are new."""
-        held = self.table()
-        if held is not None:
-            groups = groups.join(held.select("digest").hint("merge"), "digest", "left_anti")
-        (groups.select("digest", "keep_id").repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").option("path", self.path).saveAsTable(self.name))
+    """Digests seen so far: digest, keep_id, batch.
+
+    An index is its path: the files lie in path/digests-<buckets>, and any session that
+    opens the path registers them as a bucketed table, so nothing is lost where a catalog
+    forgets. `buckets` counts for a new index only; without it, it takes as many as the
+    session has shuffle partitions. close() drops the catalog's entry, not the files."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, (path or new_path(spark, "digest-index")).rstrip("/")
+        self.name = "digests_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
+        held = self._held()
+        self.buckets = held or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = f"{self.path}/digests-{self.buckets}"
+        quoted = self.folder.replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{quoted}'"
+        )
+        spark.catalog.refreshTable(self.name)
+
+    def _held(self) -> int | None:
+        """Buckets of the index that the path holds."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        found = [int(m[1]) for m in map(re.compile(r"digests-(\d+)").fullmatch, names) if m]
+        if len(found) > 1:
+            raise ValueError(f"{self.path} holds more than one index")
+        return found[0] if found else None
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def placed(self, groups: DataFrame) -> DataFrame:
+        """groups dealt out as the index is, so that joins with it shuffle nothing more."""
+        return groups.repartition(self.buckets, "digest")
+
+    def append(self, groups: DataFrame) -> str:
+        """groups: digest, keep_id; one row a digest. Adds those that are new, and returns
+        the batch's name."""
+        batch = uuid.uuid4().hex
+        new = self.placed(groups).join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        rows = new.select("digest", "keep_id", F.lit(batch).alias("batch"))
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
+        return batch
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
@@ -55,21 +92,28 @@ def with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     return rows.join(large, "digest").unionByName(rows.join(large.select("digest"), "digest", "left_anti").join(small.hint("merge"), "digest"))
 
 
-def judge(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def cuts(rows: DataFrame, batches: int) -> list[int]:
+    """doc_ids at which batches end: equal steps from the largest id to the smallest."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return [] if low is None else [high - (high - low + 1) * i // batches for i in range(1, batches)]
+
+
+def judge(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """Per different (doc_id, text): doc_id, digest, n (rows), keep_id, group_size, stays."""
-    index = index or DigestIndex(docs.sparkSession)
-    held = index.table()
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest")).groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "digests")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("n").alias("group_size"))
-    if held is None:
-        groups = groups.withColumn("keep_id", F.col("last_id")).withColumn("known", F.lit(False))
-    else:
-        known = held.select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-        groups = groups.join(known.hint("merge"), "digest", "left").select("digest", "last_id", "group_size", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("last_id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known"))
-    groups = materialise(groups, "digest-groups")
-    index.append(groups)
+    held = index or DigestIndex(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+    rows = materialise(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "digests")
+    own, rest = [], rows
+    for cut in [*cuts(rows, batches), None]:
+        part, rest = (rest, None) if cut is None else (rest.where(F.col("doc_id") > cut), rest.where(F.col("doc_id").isNull() | (F.col("doc_id") <= cut)))
+        own.append(held.append(part.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))))
+    sizes = held.placed(rows.groupBy("digest").agg(F.sum("n").alias("group_size")))
+    known = held.table().select("digest", "keep_id", F.col("batch").isin(own).alias("new"))
+    groups = materialise(sizes.join(known.hint("merge"), "digest"), "digest-groups")
+    if index is None:
+        held.close()
     total = rows.agg(F.sum("n")).first()[0] or 0
-    stays = F.col("doc_id").eqNullSafe(F.col("last_id")) & ~F.col("known")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("new")
     return with_groups(rows, groups, total).select("doc_id", "digest", "n", "keep_id", "group_size", stays.alias("stays"))
 
 
