@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -53,24 +54,32 @@ class ChunkEncoder:
       where no two blanks follow each other, the sides of a line end between other
       characters, and those of a mark as above.
 
-    Texts for which that doesn't hold, and other tokenizers, go to the library whole.
+    Texts for which that doesn't hold or that hold an added token (such as an end mark, which
+    the library gives its own id), and other tokenizers, go to the library whole. With
+    `escape`, added tokens in a text are ordinary text.
     Letters of Latin alphabets, in lower case where case doesn't count, go to a copy of the
     tokenizer without the normaliser and the pattern, which do nothing to them. The two
     tables together hold some `limit` chunks of at most 64 characters.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 700_000, escape: bool = False):
         quiet_threads()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = escape
+        self.plain.encode_special_tokens = True
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         for x in (self.tokenizer, self.plain):
             x.model._resize_cache(0)  # chunks are kept here
         with open(path, encoding="utf-8") as f:
-            self.rule = self.find_rule(json.load(f))
+            spec = json.load(f)
+        self.rule = self.find_rule(spec)
+        added = [x for x in spec.get("added_tokens") or [] if not (escape and x["special"])]
+        if any(x["normalized"] for x in added):  # found in the normalised text, which isn't at hand
+            self.rule = "whole"
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added)) if added else None
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.tokenizer.get_vocab_size() < 65_536 else ("I", np.dtype("<u4"))
         self.limit, self.heads = limit, Chunks(self, "")
         self.cache = Chunks(self, " ") if self.rule == "blank" else self.heads
@@ -87,6 +96,8 @@ class ChunkEncoder:
         return "whole"
 
     def split(self, text: str) -> list[str] | None:
+        if self.added and self.added.search(text):
+            return None
         if self.rule == "word" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()
         if self.rule == "blank" and "  " not in text:
