@@ -11,12 +11,13 @@ numbers of the documents; ids one after the other, all little-endian.
 
 Readers open the tail of a file, then decompress those frames only whose range of ids
 holds a requested document. Files are written in ascending doc_id: file by file, and
-in each file (ties by text, nulls first). Null texts are empty; repeated rows are kept;
+in each file (ties by a hash of the text, null ids first). Null texts are empty; repeated rows are kept;
 an empty table gives no file; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ FRAME_TOKENS = 65_536
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and place of a path. Hadoop's names of the S3 store count as s3."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -144,7 +147,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "part": [task.partitionId()], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tie"))
+    # rows of one doc_id, or of none, may lie in several files
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return materialise(ordered.mapInArrow(run, "file string, part long, n_docs long, n_tokens long"), "token-manifest")
 
 
