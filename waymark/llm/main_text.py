@@ -5,20 +5,22 @@ Each line has flags: inside an article (or main), in a block of prose, inside so
 that isn't content by its element, role or class (menus, headers, footers, sidebars,
 notices, adverts, forms, comments).
 
-Pages are sorted by host and URL path; a page's partner is that neighbour in its host with
-the longer common path (the one before, if equal). The two pages' lines are aligned by
-longest common subsequence and lines in common are template: deleted, but for prose inside
-an article, which copies of an article share (deleting it would lose text that the pages
-own). Where a page marks an article, lines outside it are dropped as well. On a page that
-marks none, copies tell nothing: a neighbour of the same lines isn't its partner, and if
-both neighbours differ from it, only lines in common with both are template.
-
-Pages are dealt out by ranges of the sort key, and a range's first and last pages also go
-to the ranges beside it, so that partners don't depend on how pages are dealt out, and a
-large host is spread over many tasks.
+Pages are sorted by host and URL path. Copies tell nothing, so a page's neighbours are the
+nearest pages before and after it in its host whose lines differ from its own; its partner is
+the one with the longer common path (the one before, if equal). The two pages' lines are
+aligned by longest common subsequence and lines in common are template: deleted, but for
+prose inside an article, which near copies of an article share (deleting it would lose text
+that the pages own). Where a page marks an article, lines outside it are dropped as well. On
+a page that marks none, only lines in common with both neighbours, where it has two, are
+template.
+
+Pages are dealt out by ranges of the sort key, range i to task i; their number grows with
+the bytes. A range's first and last pages also go to the ranges beside it, so a large host is
+spread over many tasks. A page whose neighbouring range ends in copies of it finds no
+partner on that side.
 
 Rules: null and empty html has no text (""); a null url is a host of its own, sorted by
-page_id. Repeated rows are each other's partners. An empty table gives no row. Other
+page_id. Repeated rows are copies of each other. An empty table gives no row. Other
 columns are ignored. The alignment of pages of any length needs linear memory.
 """
 
@@ -42,7 +44,11 @@ NOT_CONTENT = frozenset("nav header footer aside form menu button select dialog
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOT_CLASSES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
+#: Bytes of pages that a range aims at, ranges at most, characters of a key that place it.
+RANGE_BYTES, MOST_RANGES, CUT = 8 << 20, 50_000, 400
+
+#: A quote opens a value only behind =, and only where another closes it.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[\s_-]+")
 
@@ -218,51 +224,88 @@ def shared_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def ranges_of(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """Ranges of the sort key, ascending: the low end (at most CUT characters), and hashes of
+    the first and last key in it. Their number grows with the bytes of the pages, MOST_RANGES
+    at most; that is all the driver gets."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # no files whose size is known
+        size = (rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // 4
+    parts = min(MOST_RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    keys = rows.select("key", F.substring("key", 1, CUT).alias("cut")).repartitionByRange(parts, "cut")
+    ends = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("cut").alias("low"), F.min("key").alias("first"), F.max("key").alias("last"))
+    return sorted(tuple(r) for r in ends.select("low", F.xxhash64("first"), F.xxhash64("last")).collect())
+
+
+def dealt(rows: DataFrame, ranges: list[tuple[str, int, int]]) -> DataFrame:
+    """rows, range i in partition i in the order of the key; the first and last page of a
+    range also go, not as `mine`, to the range beside it."""
+    lows, firsts, lasts = (list(x) for x in zip(*ranges, strict=True))
+    own, mark = F.col("own"), F.xxhash64("key")
+    beside = F.array(F.when(F.get(F.lit(firsts), own) == mark, own - 1), F.when(F.get(F.lit(lasts), own) == mark, own + 1))
+    inside = lambda x: x.isNotNull() & (x >= 0) & (x < len(lows))
+    placed = rows.withColumn("own", place(F.substring("key", 1, CUT), lows))
+    spread = placed.withColumn("part", F.explode(F.array_union(F.array("own"), F.filter(beside, inside))))
+    spread = spread.select("part", "key", "page_id", "url", "host", "path", (F.col("own") == F.col("part")).alias("mine"), "html")
+    return spread.repartitionById(len(lows), F.col("part")).sortWithinPartitions("part", "key")
+
+
+class Seen:
+    """Rows in the order of the key, each with the nearest rows before and after it, in its
+    host, whose lines differ from its own. A run of copies is held as ids without html."""
+
+    def __init__(self):
+        self.before, self.run = None, []  # the last row that differs from the run, the run
+
+    def text_of(self, row: dict, after: dict | None) -> tuple:
+        near = [x for x in (self.before, after) if x and x["host"] == row["host"]]
+        partner = max(near, key=lambda x: shared_start(x["path"], row["path"]), default=None)
+        further = next((x["page"] for x in near if x is not partner and not row["page"].marked), None)
+        text = shown(row["page"], partner and partner["page"], further)
+        return row["page_id"], row["url"], text, len(text)
+
+    def close(self, after: dict | None = None) -> list[tuple]:
+        """Texts of the run's own pages, now that the page after it is known."""
+        out = [self.text_of(x, after) for x in self.run if x["mine"]]
+        self.before, self.run = (self.run[-1] if self.run else None), []
+        return out
+
+    def add(self, row: dict) -> list[tuple]:
+        last = self.run[-1] if self.run else None
+        if last and last["host"] == row["host"] and last["page"].hashes == row["page"].hashes:
+            row["page"] = last["page"]
+            self.run.append(row)
+            return []
+        out = self.close(row)
+        self.run = [row]
+        return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
-    spark = pages.sparkSession
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1), r"/+$", "")
-    blank = "\u0001"
     order = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), host.alias("host"), path.alias("path"), F.concat_ws(blank, host, path, order).alias("key"), F.col("html"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = sorted(rows.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"), F.max("key").alias("high")).select("low", "high").collect())
+    key = F.concat_ws("\u0001", host, path, order).alias("key")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), host.alias("host"), path.alias("path"), key, F.col("html"))
+    ranges = ranges_of(rows)
     if not ranges:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
-    lows, highs = [r.low for r in ranges], [r.high for r in ranges]
-    dealt = rows.withColumn("own", place(F.col("key"), lows))
-    beside = F.array(F.when(F.get(F.lit(lows), F.col("own")) == F.col("key"), F.col("own") - 1), F.when(F.get(F.lit(highs), F.col("own")) == F.col("key"), F.col("own") + 1))
-    spread = dealt.withColumn("part", F.explode(F.array_union(F.array("own"), F.filter(beside, lambda x: x.isNotNull() & (x >= 0) & (x < len(lows))))))
-    spread = spread.select("part", "key", "page_id", "url", "host", "path", (F.col("own") == F.col("part")).alias("mine"), "html")
-
-    def run(batches):
-        last, now = None, None
-
-        def text_of(before, row, after) -> tuple:
-            near = [x for x in (before, after) if x and x["part"] == row["part"] and x["host"] == row["host"]]
-            if not row["page"].marked:
-                near = [x for x in near if x["page"].hashes != row["page"].hashes]
-            partner = max(near, key=lambda x: shared_start(x["path"], row["path"]), default=None)
-            further = next((x["page"] for x in near if x is not partner and not row["page"].marked), None)
-            text = shown(row["page"], partner and partner["page"], further)
-            return row["page_id"], row["url"], text, len(text)
 
-        def batch(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+    def batch(out):
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
 
+    def run(batches):
+        seen = Seen()
         for b in batches:
-            out = []
-            names = [x for x in b.schema.names if x != "html"]
+            out, names = [], [x for x in b.schema.names if x != "html"]
             for i, row in enumerate(b.select(names).to_pylist()):
                 row["page"] = read_page(b.column("html")[i].as_py())
-                if now and now["mine"]:
-                    out.append(text_of(last, now, row))
-                last, now = now, row
-            if out:
-                yield batch(out)
-        if now and now["mine"]:
-            yield batch([text_of(last, now, None)])
-
-    return spread.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                out += seen.add(row)
+            yield batch(out)
+        yield batch(seen.close())
+
+    return dealt(rows, ranges).mapInArrow(run, "page_id long, url string, text string, n_chars long")
