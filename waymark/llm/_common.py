@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.plans.checkpoints import discard, materialise, new_path, shared_dir
 
-__all__ = ["WordHashes", "discard", "let", "materialise", "new_path", "quiet_threads", "read_table", "shared_dir", "text_or_empty"]
+__all__ = ["WordHashes", "discard", "let", "materialise", "new_path", "quiet_threads", "read_table", "shared_dir", "text_or_empty", "within"]
 
 
 def let(value: Column, body) -> Column:
@@ -42,5 +42,16 @@ class WordHashes(dict):
         return value
 
 
+def within(sizes: list[tuple], most: int) -> list:
+    """The first keys of (key, bytes), as many as take `most` bytes together."""
+    out, total = [], 0
+    for key, size in sizes:
+        total += size
+        if total > most:
+            break
+        out.append(key)
+    return out
+
+
 def quiet_threads() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

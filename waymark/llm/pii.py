@@ -2,14 +2,18 @@
 
 Patterns find the base spans. The field labels the tokens (stretches without white space)
 that hold a digit or @: email, ip, card, phone or none. Neighbouring tokens share chain
-potentials; a token also shares a skip potential with the last earlier token of the same
-form (its digits where it has six or more, else its lower-case letters and digits), however
-far apart, so a form has as many skip edges as repeats. Tokens of base spans keep their
-label; loopy message passing carries it to the others. A token of marginal `sure` or more
-becomes a span more, without the marks around it. Base spans always stay.
+potentials; a token also shares a skip potential with the last earlier token of the same or
+a similar form, however far apart: the same digits where it has six or more (of a base span:
+all of its digits), the same last seven digits, else the same lower-case letters and digits, those of an address before its @.
+So a form has as many skip edges as repeats. Tokens of base spans keep their label; loopy
+message passing carries it to the others. Neighbouring tokens whose likeliest label is card,
+or phone, are one entity. An entity of which one token has the marginal `sure` or more, and
+whose digits and marks suit its kind, becomes a span more, without the marks around it. Base
+spans always stay.
 
 The weights come from pseudo-likelihood over the patterns' own labels in at most `sample`
-documents (the smallest hashes of doc_id). Every document is then searched whole.
+documents (the smallest hashes of doc_id, one row an id) with `most_bytes` of features.
+Every document is then searched whole.
 
 Rules: a null text is empty and has no spans. Positions are code points, ends exclusive.
 Repeated rows are searched each; an empty table gives no row; other columns are ignored.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm._common import discard, materialise, within
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MARK, SPACE, EDGE = re.compile(r"[0-9@]"), re.compile(r"\s"), re.compile(r"\w.*\w|\w", re.S)
+MARK, SPACE, EDGE = re.compile(r"[0-9@]"), re.compile(r"\s"), re.compile(r"[+(]?\w.*\w|\w", re.S)
+#: Labels whose neighbouring tokens are one entity: card and phone.
+JOINED = frozenset((3, 4))
 
 Spans = list[tuple[int, int, int]]
 
@@ -89,11 +98,22 @@ def form_of(core: str) -> list[int]:
     return [
         "@" in core, core.count("@") == 1, dots == 1, dots == 2, dots == 3, dots > 3, core[:1] == "+", "+" in core, "(" in core or ")" in core, "-" in core,
         digits == size, letters == 0, size >= 16 and all(c in "0123456789abcdefABCDEF" for c in core), letters > digits, "=" in core, "/" in core,
-        1 <= digits <= 3, 4 <= digits <= 7, 8 <= digits <= 15, 16 <= digits <= 19, digits > 19, len(bare) >= 16 and luhn(bare[:64]), size < 5, 5 <= size < 10, 10 <= size < 20, 20 <= size < 40, size >= 40,
+        1 <= digits <= 3, 4 <= digits <= 7, 8 <= digits <= 15, 16 <= digits <= 19, digits > 19, len(bare) >= 16 and luhn(bare), size < 5, 5 <= size < 10, 10 <= size < 20, 20 <= size < 40, size >= 40,
     ]
 
 
-def tokens(text: str) -> Tokens:
+def likes(core: str) -> set[str]:
+    """What a token shares with those that are the same or similar."""
+    bare = "".join(c for c in core if c in "0123456789")
+    if len(bare) >= 6 and "@" not in core:
+        return {bare, "7 " + bare[-7:]} if len(bare) >= 7 else {bare}
+    plain = lambda x: "".join(c for c in x if c.isalnum())
+    low = core.lower()
+    return {x for x in (plain(low), plain(low.partition("@")[0])) if x}
+
+
+def tokens(text: str, base: Spans | tuple = ()) -> Tokens:
+    """base: the base spans; the last token of one is also like its whole digits."""
     spans, end = [], 0
     for m in MARK.finditer(text):
         if m.start() < end:
@@ -104,7 +124,12 @@ def tokens(text: str) -> Tokens:
         found = SPACE.search(text, m.start())
         end = found.start() if found else len(text)
         spans.append((start, end))
-    rows, chain, skip, last = [], [], [], {}
+    rows, chain, skip, last = [], [], set(), {}
+    whole = {}
+    for _, a, b in base:
+        if spans:
+            at = bisect_left(spans, (b, 0)) - 1
+            whole[at] = whole.get(at, set()) | likes(text[a:b])
     for i, (a, b) in enumerate(spans):
         core = text[a:b].strip(".,;:!?\"'<>[]{}")
         beside = bool(i) and a - spans[i - 1][1] == 1
@@ -112,12 +137,11 @@ def tokens(text: str) -> Tokens:
         rows.append([*form_of(core), after, beside, True])
         if beside:
             chain.append((i - 1, i))
-        bare = "".join(c for c in core if c in "0123456789")
-        key = bare if len(bare) >= 6 else "".join(c for c in core.lower() if c.isalnum())
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return Tokens(spans, np.array(rows, np.float64).reshape(len(rows), len(FORMS)), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+        for key in likes(core) | whole.get(i, set()):
+            if key in last:
+                skip.add((last[key], i))
+            last[key] = i
+    return Tokens(spans, np.array(rows, np.float64).reshape(len(rows), len(FORMS)), np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(skip), np.int64).reshape(-1, 2))
 
 
 def labels_of(spans: list[tuple[int, int]], base: Spans) -> np.ndarray:
@@ -145,7 +169,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def fit(documents: list[tuple[Tokens, np.ndarray]], rounds: int = 200, rate: float = 1.0, decay: float = 1e-4) -> Field:
+def fit(documents: list[tuple[Tokens, np.ndarray]], rounds: int = 1000, rate: float = 1.0, decay: float = 1e-4) -> Field:
     """Gradient ascent on the pseudo-likelihood: each token given its neighbours' labels."""
     n = len(KINDS) + 1
     own, chain, skip = np.zeros((len(FORMS), n)), np.zeros((n, n)), 0.0
@@ -210,40 +234,62 @@ def marginals(field: Field, t: Tokens, fixed: np.ndarray, settled: float = 1e-6)
     return softmax(total)
 
 
-def all_spans(text: str, field: Field, sure: float = 0.98) -> tuple[Spans, Spans]:
+def suits(kind: int, found: str) -> bool:
+    """Whether an entity has what its kind needs; leftovers of failed patterns have not."""
+    digits, numbers = sum(c.isdigit() for c in found), re.findall(r"[0-9]+", found)
+    return ("@" in found, len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers), 13 <= digits <= 19, 7 <= digits <= 15)[kind]
+
+
+def entities(text: str, spans: list[tuple[int, int]], fixed: np.ndarray, p: np.ndarray, sure: float) -> Spans:
+    """Spans of the tokens outside base spans, neighbours of a label joined."""
+    label, out, i = np.where(fixed > 0, 0, p.argmax(axis=1)).tolist(), [], 0
+    while i < len(spans):
+        k, j = label[i], i + 1
+        if k in JOINED:
+            while j < len(spans) and label[j] == k and spans[j][0] - spans[j - 1][1] == 1:
+                j += 1
+        if k and p[i:j, k].max() >= sure and (m := EDGE.search(text, spans[i][0], spans[j - 1][1])) and suits(k - 1, m[0]):
+            out.append((k - 1, m.start(), m.end()))
+        i = j
+    return out
+
+
+def all_spans(text: str, field: Field, sure: float = 0.9) -> tuple[Spans, Spans]:
     """The base spans, and those that the field adds."""
     base = base_spans(text)
-    t = tokens(text)
+    t = tokens(text, base)
     if not t.spans:
         return base, []
     fixed = labels_of(t.spans, base)
     if fixed.all():
         return base, []
-    p = marginals(field, t, fixed)
-    more = []
-    for i in np.flatnonzero((fixed == 0) & (p.argmax(axis=1) > 0) & (p.max(axis=1) >= sure)):
-        a, b = t.spans[i]
-        if m := EDGE.search(text, a, b):
-            more.append((int(p[i].argmax()) - 1, m.start(), m.end()))
-    return base, more
+    return base, entities(text, t.spans, fixed, marginals(field, t, fixed), sure)
 
 
-def train(docs: DataFrame, sample: int = 4_000) -> Field:
-    """Field fitted on at most `sample` documents; the driver gets their tokens' features."""
+def train(docs: DataFrame, sample: int = 4_000, most_bytes: int = 64_000_000) -> Field:
+    """Field fitted on at most `sample` documents of `most_bytes` features together; the
+    driver gets no more. Of rows that repeat an id, the one with the least tokens counts."""
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for b in batches:
             out = []
             for x in b.column(1).to_pylist():
-                t = tokens(x or "")
-                y = labels_of(t.spans, base_spans(x or ""))
+                base = base_spans(x or "")
+                t = tokens(x or "", base)
+                y = labels_of(t.spans, base)
                 out.append((np.packbits(t.forms.astype(bool)).tobytes(), y.astype("<i4").tobytes(), t.chain.astype("<i4").tobytes(), t.skip.astype("<i4").tobytes()))
             keep = [i for i, x in enumerate(out) if x[1]]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64()))] + [pa.array([out[i][k] for i in keep], pa.binary()) for k in range(4)], names=["doc_id", "forms", "y", "chain", "skip"])
 
     # chosen has at most `sample` ids
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, forms binary, y binary, chain binary, skip binary").orderBy("doc_id", "forms", "y").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, forms binary, y binary, chain binary, skip binary")
+    size = F.length("forms") + F.length("y") + F.length("chain") + F.length("skip")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(size.alias("size"), "forms", "y", "chain", "skip")).alias("x"))
+    learned = materialise(one.select("doc_id", "x.*"), "pii-features")
+    ids = within([tuple(r) for r in learned.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect()], most_bytes)
+    table = learned.where(F.col("doc_id").isin(ids)).orderBy("doc_id").toArrow()
+    discard(learned)
     documents = []
     for r in table.to_pylist():
         y = np.frombuffer(r["y"], "<i4").astype(np.int64)

@@ -6,7 +6,7 @@ words also counts as the pair (word, same word), with how much of the text such
 are, in five steps. Each feature has the value 1 / sqrt(number of different features). The score is a sparse dot product of the
 weights that these places hold. Training follows the regularised leader, one labelled
 document after the other, `epochs` times, on at most `sample` labelled documents (those
-with the smallest hash of their ids).
+with the smallest hash of their ids), one row an id, and `most_bytes` of their features.
 
 Nulls: a null text is empty, and an empty text scores by the bias alone. Rows with a null
 or unknown label aren't learned from. Repeated rows score alike. An empty table gives no
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import WordHashes
+from waymark.llm._common import WordHashes, discard, materialise, within
 
 BITS = 20
 WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -75,9 +75,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 5) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 5, most_bytes: int = 256_000_000) -> np.ndarray:
     """Weights (the last is the bias) from labelled rows that aren't held out. At most
-    `sample` documents are learned from; what the driver gets is their places."""
+    `sample` documents of `most_bytes` places together are learned from; the driver gets no
+    more. Of rows that repeat an id, the one with the least features counts."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -87,7 +88,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int =
 
     # chosen has at most `sample` rows of two numbers
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    table = joined.mapInArrow(places, "doc_id long, quality int, places binary").orderBy(F.xxhash64("doc_id", "places")).toArrow()
+    found = joined.mapInArrow(places, "doc_id long, quality int, places binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.length("places").alias("size"), "places", "quality")).alias("x"))
+    learned = materialise(one.select("doc_id", "x.*"), "quality-features")
+    ordered = learned.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = within([tuple(r) for r in ordered.collect()], most_bytes)
+    table = learned.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    discard(learned)
     model = Ftrl()
     got = [(np.frombuffer(p, "<i4").astype(np.int64), y) for p, y in zip(table.column("places").to_pylist(), table.column("quality").to_pylist(), strict=True)]
     for _ in range(epochs if got else 0):
