@@ -136,9 +136,9 @@ class PieceEncoder:
             ids, i = [], n
             while i:
                 p = int(last[r, i])
-                ids[:0] = [p] if p >= 0 else self.fallback(chr(-1 - p))
+                ids.extend([p] if p >= 0 else reversed(self.fallback(chr(-1 - p))))
                 i -= int(size_of[r, i])
-            out.append(np.array(ids, "<u4").tobytes())
+            out.append(np.array(ids[::-1], "<u4").tobytes())
         return out
 
     def step(self, hit, piece, i, size, best, size_of, last, bpe) -> None:
