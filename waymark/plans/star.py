@@ -9,15 +9,16 @@ from waymark.plans.checkpoints import discard, materialise
 
 
 #: Nodes broadcast at most: twice so many, those with 1/HOT_NODES of all links or more.
-HOT_NODES = 4096
+HOT_NODES, LEAST_HOT = 4096, 4096
 
 
-def with_lowest(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """rows (u, v) with m of low (u, m, n) on u, however many rows a u has: the at most
-    2 * HOT_NODES nodes with n >= total / HOT_NODES rows are broadcast, the rest is joined
-    by sort-merge, where no node has many."""
-    hot = F.col("n") >= max(256, -(-total // HOT_NODES))
-    large, rest = F.broadcast(low.where(hot).select("u", "m")), low.where(~hot).select("u", "m")
+def with_lowest(rows: DataFrame, low: DataFrame, hot: int | None) -> DataFrame:
+    """rows (u, v) with m of low (u, m, n) on u, however many rows a u has: where nodes of
+    `hot` rows or more are known to be there, those, of which `hot` allows few, are broadcast
+    and the rest is joined by sort-merge, where no node has many."""
+    if hot is None:
+        return rows.join(low.select("u", "m"), "u")
+    large, rest = F.broadcast(low.where(F.col("n") >= hot).select("u", "m")), low.where(F.col("n") < hot).select("u", "m")
     return rows.join(large, "u").unionByName(rows.join(large.select("u"), "u", "left_anti").join(rest, "u"))
 
 
@@ -31,14 +32,16 @@ def star_components(links: DataFrame) -> DataFrame:
     shared folder and the one before it deleted.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = materialise(edges, "star")
-    mark = (edges.count(), None)
+    edges, mark = materialise(edges, "star"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        total, most = both.groupBy("u").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        hot = max(LEAST_HOT, -(-total // HOT_NODES))
+        hot = hot if most >= hot else None
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = with_lowest(both.where("v > u"), low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_lowest(both.where("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = with_lowest(large, low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = with_lowest(large, low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         before, edges = edges, materialise(small.distinct(), "star")
         discard(before)
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
