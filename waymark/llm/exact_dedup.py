@@ -123,9 +123,9 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return each.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
     """docs without the rows that dedup() drops; all columns stay."""
-    rows = judge(docs, index).select(F.col("doc_id").alias("__waymark_id"), F.col("digest").alias("__waymark_digest"), "stays", "n")
+    rows = judge(docs, index, batches).select(F.col("doc_id").alias("__waymark_id"), F.col("digest").alias("__waymark_digest"), "stays", "n")
     gone = materialise(rows.where(~F.col("stays") | (F.col("n") > 1)), "digests-gone")
     same = F.col("doc_id").eqNullSafe(F.col("__waymark_id")) & (F.col("__waymark_own") == F.col("__waymark_digest"))
     marked = docs.withColumn("__waymark_own", digest())

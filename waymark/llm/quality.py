@@ -96,7 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int =
     table = learned.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     discard(learned)
     model = Ftrl()
-    got = [(np.frombuffer(p, "<i4").astype(np.int64), y) for p, y in zip(table.column("places").to_pylist(), table.column("quality").to_pylist(), strict=True)]
+    got = []
+    for batch in (x for x in table.to_batches() if x.num_rows):  # places as they lie in the batch, not copied
+        ends = np.frombuffer(batch.column("places").buffers()[1], "<i4")[batch.column("places").offset :][: batch.num_rows + 1]
+        data = np.frombuffer(batch.column("places").buffers()[2] or b"", np.uint8)
+        got += [(data[ends[i] : ends[i + 1]].view("<i4"), y.as_py()) for i, y in enumerate(batch.column("quality"))]
     for _ in range(epochs if got else 0):
         for p, y in got:
             model.learn(p, y)
