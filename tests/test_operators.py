@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import decision, graph, intervals, jobs, lifecycle, match, raster, robust, sequence
+from waymark.operators import decision, evaluate, graph, intervals, jobs, lifecycle, match, raster, robust, sequence
 from waymark.sources import text_lists
 
 
@@ -20,28 +21,64 @@ def test_dropout_and_transitions(spark):
     assert events == {(1, 2, "uncertain"), (1, 3, "uncertain"), (2, 2, "added"), (2, 3, "widened")}
 
 
+NONE = (False, None, None, None, None, None, None)
+
+
 @pytest.mark.parametrize(
     "case, state, reason",
     [
-        ((0.50, 0.0, None), "present", "geometry_match_strong"),
-        ((0.49, 0.55, None), "present", "reference_centerline_missing_but_surface_present"),
-        ((0.0, 0.0, None), "uncertain", "valid_observation_unknown"),
-        ((0.0, 0.0, 0.79), "uncertain", "invalid_or_nodata_reference"),
-        ((0.0, 0.0, 0.85), "uncertain", "insufficient_negative_evidence"),
-        ((0.0, 0.0, 0.90), "absent", "true_absence_confirmed"),
-        ((0.11, 0.0, 1.0), "uncertain", "insufficient_negative_evidence"),
-        ((0.0, None, 1.0), "uncertain", "insufficient_negative_evidence"),
+        ((0.50, 0.0, None, *NONE), "present", "geometry_match_strong"),
+        ((0.49, 0.55, None, *NONE), "present", "reference_centerline_missing_but_surface_present"),
+        ((0.0, 0.0, None, *NONE), "uncertain", "valid_observation_unknown"),
+        ((0.0, 0.0, 0.79, *NONE), "uncertain", "invalid_or_nodata_reference"),
+        ((0.0, 0.0, 0.85, *NONE), "uncertain", "insufficient_negative_evidence"),
+        ((0.0, 0.0, 0.90, *NONE), "absent", "true_absence_confirmed"),
+        ((0.11, 0.0, 1.0, *NONE), "uncertain", "insufficient_negative_evidence"),
+        ((0.0, None, 1.0, *NONE), "uncertain", "insufficient_negative_evidence"),
+        ((None, 0.0, 1.0, *NONE), "absent", "true_absence_confirmed"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.90, 0.50, 0.3, 0.1, 0.6), "present", "reference_centerline_missing_but_probability_present"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.85, 0.74, 0.1, 0.1, 0.11), "present", "reference_centerline_missing_but_probability_present"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.84, 0.50, 0.3, 0.1, 0.6), "uncertain", "insufficient_negative_evidence"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.70, 0.65, 0.3, 0.1, 0.6), "absent", "true_absence_confirmed"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.70, 0.50, 0.3, 0.1, 0.6), "uncertain", "insufficient_negative_evidence"),
+        ((0.0, 0.0, 1.0, True, 0.1, 0.99, 0.50, 0.3, 0.1, 0.105), "absent", "true_absence_confirmed"),
+        ((0.0, 0.0, 1.0, True, 0.2, 0.99, 0.50, 0.3, 0.1, 0.105), "uncertain", "insufficient_negative_evidence"),
+        ((0.0, 0.0, 1.0, True, None, None, None, None, 0.1, 0.6), "uncertain", "insufficient_negative_evidence"),
     ],
 )
 def test_existence(spark, case, state, reason):
-    row = spark.createDataFrame([(*case, None, None)], "g double, s double, v double, r double, c double")
-    got = row.select(decision.existence(*[F.col(x) for x in "gsvrc"]).alias("x")).first().x
+    row = spark.createDataFrame([case], "g double, s double, v double, probed boolean, mean double, pct double, bg double, contrast double, p50 double, p99 double")
+    got = row.select(decision.existence(*[F.col(x) for x in row.columns]).alias("x")).first().x
     assert (got.state, got.reason) == (state, reason)
 
 
+def test_change_names(spark):
+    names = [("Added",), (" 新增 ",), ("+1",), ("2",), ("-1",), ("new road",), ("width",), ("expansion",), (None,)]
+    rows = spark.createDataFrame(names, "n string").select(decision.change_class(F.col("n")).alias("four"), decision.change_class(F.col("n"), 3).alias("three")).collect()
+    assert [r.four for r in rows] == ["added", "added", "added", None, "removed", "added", None, "widened", None]
+    assert [r.three for r in rows] == ["added", "added", "added", None, "removed", "added", "width_changed", "width_changed", None]
+    with pytest.raises(ValueError):
+        decision.change_class(F.col("n"), 5)
+
+
+def test_first_valid_and_scores(spark):
+    row = spark.createDataFrame([("x", "NaN", "inf", "2.5"), (None, "", "abc", None)], "a string, b string, c string, d string")
+    assert [r[0] for r in row.select(decision.first_valid(*[F.col(c) for c in "abcd"], default=-1.0)).collect()] == [2.5, -1.0]
+    rows = spark.createDataFrame([("a", 0.4, None, None), ("B", 3.0, 0.2, "manual"), (None, None, None, "other")], "g string, c double, s double, src string")
+    assert [r[0] for r in rows.select(decision.grade_score(*[F.col(c) for c in rows.columns])).collect()] == pytest.approx([3.35, 2.75, 1.0])
+
+
+def test_pooled_evaluation_of_tasks(spark):
+    """Two tasks of one class: sums first, ratios of the sums then."""
+    rows = spark.createDataFrame([(8.0, 0.0, 2.0, 0.0, 10.0, 20.0, 5.0, 30.0), (12.0, 0.0, 8.0, 0.0, 30.0, 10.0, 15.0, 40.0)], evaluate.SUPPORTS)
+    got = evaluate.pooled(rows).first()
+    assert (got.tasks, got.recall, got.precision) == (2, 20 / 30, 1.0)
+    assert (got.truth_to_predicted, got.predicted_to_truth, got.mean_offset) == (20 / 40, 70 / 30, 90 / 70)
+
+
 def test_clipped_stats_keeps_all_where_mad_is_zero(spark):
     rows = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 5.0), (1, 90.0), (2, -1.0)], "k int, v double")
-    assert [(r.k, r.median, r.n) for r in robust.clipped_stats(rows, "k", "v").collect()] == [(1, 5.0, 4)]
+    assert sorted((r.k, r.median, r.std > 0, r.n) for r in robust.clipped_stats(rows, "k", "v").collect()) == [(1, 5.0, True, 4), (2, 0.0, False, 0)]
 
 
 def test_intervals(spark):
@@ -91,9 +128,28 @@ def test_windows_cover():
 
 
 def test_periods_and_names(spark):
-    rows = spark.createDataFrame([("2021",), ("202102",), ("2021-02-03",), ("20210230",), ("spring",), ("a10",), ("a9",)], "raw string")
+    raw = ["2021", " 202102", "2021-02-03", "20210230", "spring", "a10", "a9", "a" + "9" * 30, "a1" + "0" * 30, "a007", "", "0000"]
+    rows = spark.createDataFrame([(x,) for x in raw], "raw string")
     got = {r.raw: r.k for r in rows.select("raw", text_lists.period_key(F.col("raw")).alias("k")).collect()}
-    assert got["2021"].ordinal == 20210101 and got["202102"].ordinal == 20210201 and got["2021-02-03"].granularity == 8
-    assert got["20210230"] is None and got["spring"]["class"] == 1
-    order = [r.raw for r in rows.where("raw LIKE 'a%'").orderBy(text_lists.natural_key(F.col("raw"))).collect()]
-    assert order == ["a9", "a10"]
+    days = [got[x].ordinal for x in ("2021", " 202102", "2021-02-03")]
+    assert days == [datetime.date(2021, 1, 1).toordinal(), datetime.date(2021, 2, 1).toordinal(), datetime.date(2021, 2, 3).toordinal()]
+    assert got["2021-02-03"].granularity == 2 and got["20210230"] is None and got["spring"]["class"] == 1 and got[""] is None and got["0000"] is None
+    order = [r.raw for r in rows.where("raw LIKE 'a%'").orderBy(text_lists.period_key(F.col("raw"))).collect()]
+    assert order == ["a007", "a9", "a10", "a" + "9" * 30, "a1" + "0" * 30]
+    with pytest.raises(Exception, match="no period"):
+        rows.select(text_lists.period_key(F.col("raw"), strict=True).alias("k")).collect()
+    names = spark.createDataFrame([("..",), ("a b.c",), ("道路-1_",), ("__",)], "n string").select(text_lists.clean_name(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["grid", "a_b_c", "道路-1", "grid"]
+
+
+def test_list_lines(spark):
+    text = "\ufeff\"a b.tif\"\r\n\t'\"x\"'  \r# no\x0b\x85  \n''\n\"\n'y\u2028 z"
+    got = [tuple(r)[1:] for r in text_lists.list_lines(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").collect()]
+    assert sorted(got) == [(1, "a b.tif"), (2, '"x"'), (8, "'y"), (9, "z")]
+
+
+def test_suppress_and_runs():
+    x, y, score = np.array([0.0, 1, 3, 3.5]), np.zeros(4), np.array([0.9, 0.8, 0.7, 1.5])
+    assert sequence.suppress(x, y, score, 1.0).tolist() == [True, False, False, True]
+    assert sequence.suppress(x, y, np.array([0.9, 1.1, 0.7, 1.5]), 1.0).tolist() == [False, True, False, True]
+    assert sequence.split_runs([0.2, 0.2, 0.2, 0.5], ratio=0.35) == [0, 0, 0, 0]

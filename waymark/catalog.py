@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import registry
 from waymark.functions import geometry
-from waymark.operators import decision, evaluate, graph, intervals, jobs, lifecycle, match, raster, robust, sequence
+from waymark.operators import decision, evaluate, graph, intervals, jobs, lifecycle, match, raster, robust
 from waymark.sources import tables, text_lists
 
 FLAGSHIP = "lifecycle_event_counts"
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def _register(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
+_register, _rounded = registry.register, registry.rounded
 
-    return add
 
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def _rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return dict(registry.SQL)
 
 
 _FIXED = f"""{tables.OBSERVATIONS_SQL},
@@ -47,7 +29,7 @@ _EVENTS = f"""{_FIXED},
     pairs AS (SELECT road_id, lag(period) OVER w AS from_per, period AS to_per, lag(status) OVER w AS before_st, status AS after_st, lag(width_m) OVER w AS before_w, width_m AS after_w
               FROM fixed WINDOW w AS (PARTITION BY road_id ORDER BY period)),
     typed AS (SELECT *, after_w - before_w AS width_diff, abs(after_w - before_w) >= 2 AND abs(after_w - before_w) / greatest(before_w, after_w, CAST(0.1 AS DOUBLE)) >= CAST(0.2 AS DOUBLE) AS ch FROM pairs WHERE from_per IS NOT NULL),
-    events_ AS (SELECT *, CASE WHEN before_st = 'uncertain' OR after_st = 'uncertain' THEN 'uncertain' WHEN before_st = 'absent' AND after_st = 'present' THEN 'added' WHEN before_st = 'present' AND after_st = 'absent' THEN 'removed'
+    events_ AS (SELECT *, CASE WHEN before_st <> after_st AND 'uncertain' IN (before_st, after_st) THEN 'uncertain' WHEN before_st = 'absent' AND after_st = 'present' THEN 'added' WHEN before_st = 'present' AND after_st = 'absent' THEN 'removed'
                        WHEN before_st = 'present' AND after_st = 'present' AND ch AND width_diff > 0 THEN 'widened' WHEN before_st = 'present' AND after_st = 'present' AND ch THEN 'narrowed' END AS event_typ FROM typed)"""
 
 
@@ -96,9 +78,17 @@ def status_calendar(spark, d):
     return lifecycle.status_pivot(obs, sorted(r.name for r in calendar.collect()))
 
 
-@_register(f"WITH {tables.SAMPLES_SQL}, a AS (SELECT *, median(width) OVER (PARTITION BY chain_id) AS m FROM s WHERE width > 0), b AS (SELECT *, median(abs(width - m)) OVER (PARTITION BY chain_id) AS mad FROM a) SELECT chain_id, median(width) AS median, round(stddev_pop(width), 5) AS std, count(*) AS n FROM b WHERE mad <= 0 OR abs(width - m) <= 3.5 * CAST(1.4826 AS DOUBLE) * mad GROUP BY 1")
+_ODD_WIDTH = """CASE WHEN chain_id % 17 = 0 THEN -width WHEN sample_index % 9 = 0 THEN CAST('NaN' AS DOUBLE) WHEN sample_index % 10 = 0 THEN CAST('Infinity' AS DOUBLE)
+    WHEN sample_index % 11 = 0 THEN 0.0 WHEN sample_index % 13 = 0 THEN width * 40 ELSE width END"""
+
+
+@_register(f"""WITH {tables.SAMPLES_SQL}, o AS (SELECT chain_id, CAST({_ODD_WIDTH} AS DOUBLE) AS x FROM s), f AS (SELECT chain_id, CASE WHEN x > 0 AND NOT isnan(x) AND NOT isinf(x) THEN x END AS v FROM o),
+    a AS (SELECT *, median(v) OVER (PARTITION BY chain_id) AS m FROM f), b AS (SELECT *, median(abs(v - m)) OVER (PARTITION BY chain_id) AS mad FROM a),
+    k AS (SELECT chain_id, CASE WHEN mad <= 0 OR abs(v - m) <= 3.5 * CAST(1.4826 AS DOUBLE) * mad THEN v END AS v FROM b)
+    SELECT chain_id, coalesce(median(v), 0.0) AS median, round(coalesce(stddev_pop(v), 0.0), 5) AS std, count(v) AS n FROM k GROUP BY 1""")
 def robust_widths(spark, d):
-    return _rounded(robust.clipped_stats(tables.width_samples(spark, d), "chain_id", "width"), "std")
+    s = tables.width_samples(spark, d).withColumn("width", F.expr(_ODD_WIDTH))
+    return _rounded(robust.clipped_stats(s, "chain_id", "width"), "std")
 
 
 @_register(f"WITH {tables.SAMPLES_SQL}, g AS (SELECT chain_id, width, sum(CAST(support AS DECIMAL(28,4))) AS w FROM s WHERE support > 0 GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY chain_id ORDER BY width ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY chain_id) AS total FROM g) SELECT chain_id, min(width) AS weighted_median FROM r WHERE run * 2 >= total GROUP BY 1")
@@ -113,9 +103,12 @@ def empirical_ranks(spark, d):
     return _rounded(out, "strict_rank", "mid_rank", digits=6)
 
 
-@_register(f"WITH {tables.SAMPLES_SQL}, n AS (SELECT *, list(width) OVER (PARTITION BY chain_id ORDER BY sample_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM s), m AS (SELECT *, list_median(near) AS med FROM n), k AS (SELECT *, list_median([abs(x - med) FOR x IN near]) AS mad FROM m) SELECT chain_id, sample_index, med AS rolling_median, len(near) >= 3 AND abs(width - med) > greatest(1.0, 3.0 * CAST(1.4826 AS DOUBLE) * mad) AS outlier FROM k")
+@_register(f"""WITH {tables.SAMPLES_SQL}, n AS (SELECT *, grade <> 'C' AS ok, coalesce(list(width) FILTER (grade <> 'C') OVER (PARTITION BY chain_id ORDER BY sample_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), []) AS near FROM s),
+    m AS (SELECT *, list_median(near) AS med FROM n), k AS (SELECT *, list_median([abs(x - med) FOR x IN near]) AS mad FROM m)
+    SELECT chain_id, sample_index, CASE WHEN ok THEN med END AS rolling_median, coalesce(ok AND len(near) >= 3 AND abs(width - med) > greatest(1.0, 3.5 * CAST(1.4826 AS DOUBLE) * mad), false) AS outlier FROM k""")
 def rolling_hampel(spark, d):
-    return robust.hampel(tables.width_samples(spark, d), "chain_id", "sample_index", "width").select("chain_id", "sample_index", "rolling_median", "outlier")
+    flagged = robust.hampel(tables.width_samples(spark, d), "chain_id", "sample_index", "width", valid=F.col("grade") != "C")
+    return flagged.select("chain_id", "sample_index", "rolling_median", F.coalesce("outlier", F.lit(False)).alias("outlier"))
 
 
 @_register(f"WITH {tables.SAMPLES_SQL}, m AS (SELECT chain_id, median(width) AS m FROM s WHERE width > 0 GROUP BY 1) SELECT chain_id, sample_index, round(least(greatest(width, m * CAST(0.65 AS DOUBLE)), m * CAST(1.35 AS DOUBLE)), 5) AS clamped FROM s LEFT JOIN m USING (chain_id)")
@@ -128,38 +121,108 @@ def global_width_summary(spark, d):
     return _rounded(robust.width_summary(tables.width_samples(spark, d), "width"), "mean")
 
 
-_PART = "v AS (SELECT p_partkey AS id, (p_size % 11) / 10.0e0 AS g, (p_size % 7) / 6.0e0 AS s, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 13) / 12.0e0 END AS v, (p_size % 9) / 8.0e0 AS r, (p_size % 6) / 5.0e0 AS c FROM part)"
+#: Evidence by arithmetic on a key k, so that all branches are met.
+_EVIDENCE = {
+    "g": "CASE WHEN k % 23 <> 0 THEN (k * 7 % 11) / 10.0e0 END",
+    "s": "CASE WHEN k % 5 <> 0 THEN (k * 5 % 7) / 8.0e0 END",
+    "v": "CASE WHEN k % 7 <> 0 THEN (k * 3 % 13) / 12.0e0 END",
+    "probed": "k % 3 <> 0",
+    "mean": "CASE WHEN k % 3 <> 0 AND k % 19 <> 0 THEN (k % 9) / 40.0e0 END",
+    "pct": "CASE WHEN k % 3 <> 0 AND k % 17 <> 0 THEN (k * 11 % 21) / 20.0e0 END",
+    "bg": "CASE WHEN k % 3 <> 0 AND k % 29 <> 0 THEN (k * 13 % 21) / 20.0e0 END",
+    "contrast": "CASE WHEN k % 3 <> 0 AND k % 31 <> 0 THEN (k % 5 - 2) / 10.0e0 END",
+    "p50": "CASE WHEN k % 3 <> 0 THEN 0.2e0 END",
+    "p99": "CASE WHEN k % 3 <> 0 THEN 0.2e0 + (k % 4) * 0.005e0 END",
+}
+
+
+def evidence_sql(key: str) -> str:
+    columns = ", ".join(f"{v} AS {n}" for n, v in _EVIDENCE.items())
+    return f"""SELECT *, CASE WHEN coalesce(g, 0) >= 0.5 THEN 'geometry_match_strong'
+            WHEN p99 - p50 >= 0.01 AND pct >= 0.85 AND pct - bg >= 0.10 AND contrast > 0 THEN 'reference_centerline_missing_but_probability_present'
+            WHEN s >= 0.55 THEN 'reference_centerline_missing_but_surface_present' WHEN v IS NULL THEN 'valid_observation_unknown' WHEN v < 0.8 THEN 'invalid_or_nodata_reference'
+            WHEN coalesce(g, 0) <= 0.1 AND s <= 0.1 AND v >= 0.9 AND (NOT probed OR pct IS NOT NULL AND (p99 - p50 < 0.01 AND coalesce(mean, 0) <= 0.1 OR pct <= 0.7 AND (pct - bg IS NULL OR pct - bg <= 0.1)))
+                THEN 'true_absence_confirmed' ELSE 'insufficient_negative_evidence' END AS reason
+        FROM (SELECT id, k, {columns} FROM (SELECT p_partkey AS id, {key} AS k FROM part))"""
 
 
-def _evidence(spark, d):
-    n = lambda k, u: (F.col("p_size") % k) / F.lit(float(u))
-    return tables.load(spark, d, "part").select(F.col("p_partkey").alias("id"), n(11, 10).alias("g"), n(7, 6).alias("s"), F.when(F.col("p_size") % 5 != 0, n(13, 12)).alias("v"), n(9, 8).alias("r"), n(6, 5).alias("c"))
+STATE_SQL = "CASE WHEN reason IN ('geometry_match_strong', 'reference_centerline_missing_but_probability_present', 'reference_centerline_missing_but_surface_present') THEN 'present' WHEN reason = 'true_absence_confirmed' THEN 'absent' ELSE 'uncertain' END"
 
 
-@_register(f"""WITH {_PART} SELECT id, CASE WHEN g >= 0.5 OR (r >= 0.9 AND c >= 0.3) OR s >= 0.55 THEN 'present' WHEN v >= 0.9 AND g <= 0.1 AND s <= 0.1 THEN 'absent' ELSE 'uncertain' END AS state,
-    CASE WHEN g >= 0.5 THEN 'geometry_match_strong' WHEN r >= 0.9 AND c >= 0.3 THEN 'reference_centerline_missing_but_probability_present' WHEN s >= 0.55 THEN 'reference_centerline_missing_but_surface_present' WHEN v IS NULL THEN 'valid_observation_unknown'
-         WHEN v < 0.8 THEN 'invalid_or_nodata_reference' WHEN v >= 0.9 AND g <= 0.1 AND s <= 0.1 THEN 'true_absence_confirmed' ELSE 'insufficient_negative_evidence' END AS reason FROM v""")
+def evidence(spark, d, key: str = "p_partkey"):
+    parts = tables.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(key).alias("k"))
+    e = parts.select("id", "k", *[F.expr(v).alias(n) for n, v in _EVIDENCE.items()])
+    return e.withColumn("x", decision.existence(*[F.col(c) for c in _EVIDENCE])).select("*", "x.state", "x.reason").drop("x")
+
+
+@_register(f"WITH e AS ({evidence_sql('p_partkey')}) SELECT id, {STATE_SQL} AS state, reason FROM e")
 def existence_evidence(spark, d):
-    e = _evidence(spark, d)
-    return e.select("id", decision.existence(*[F.col(c) for c in "gsvrc"]).alias("x")).select("id", "x.state", "x.reason")
+    return evidence(spark, d).select("id", "state", "reason")
+
+
+_BOTH = f"""b AS ({evidence_sql('p_partkey * 5 + 1')}), a AS ({evidence_sql('p_partkey * 3 + 2')}), both_ AS (SELECT b.id, b AS before, a AS after, {STATE_SQL.replace('reason', 'b.reason')} AS bs, {STATE_SQL.replace('reason', 'a.reason')} AS sa,
+    b.reason AS br, a.reason AS ar, CASE WHEN b.id % 2 = 0 THEN 'added' ELSE 'removed' END AS requested FROM b JOIN a USING (id))"""
+
+
+def _both(spark, d):
+    side = lambda key, name: evidence(spark, d, key).select("id", F.struct("*").alias(name))
+    both = side("p_partkey * 5 + 1", "before").join(side("p_partkey * 3 + 2", "after"), "id")
+    return both.withColumn("requested", F.when(F.col("id") % 2 == 0, "added").otherwise("removed"))
+
+
+@_register(f"""WITH {_BOTH}, s AS (SELECT *, requested = 'added' AND bs = 'absent' AND sa = 'present' OR requested = 'removed' AND bs = 'present' AND sa = 'absent' AS sure FROM both_)
+    SELECT id, CASE WHEN sure THEN 'auto' ELSE 'review' END AS qa_state, CASE WHEN sure THEN 'dual_period_confirmed_change' WHEN 'invalid_or_nodata_reference' IN (br, ar) THEN 'invalid_or_nodata_reference' WHEN 'valid_observation_unknown' IN (br, ar) THEN 'valid_observation_unknown'
+        WHEN 'reference_centerline_missing_but_probability_present' IN (br, ar) THEN 'reference_centerline_missing_but_probability_present' WHEN 'reference_centerline_missing_but_surface_present' IN (br, ar) THEN 'reference_centerline_missing_but_surface_present'
+        WHEN 'insufficient_negative_evidence' IN (br, ar) THEN 'insufficient_negative_evidence' WHEN bs = 'present' AND sa = 'present' THEN 'cross_sensor_extraction_disagreement' ELSE 'geometry_mismatch_only' END AS qa_reason FROM s""")
+def change_decisions(spark, d):
+    rule = decision.change_decision(*[F.col(c) for c in ("before.state", "after.state", "before.reason", "after.reason", "requested")])
+    return _both(spark, d).select("id", rule.alias("x")).select("id", "x.qa_state", "x.qa_reason")
+
 
+@_register(f"""WITH {_BOTH} SELECT id, bs AS before_state, sa AS after_state, before.g AS before_geom_cov, after.g AS after_geom_cov, before.mean AS before_center_evidence, after.mean AS after_center_evidence, before.pct AS before_center_pct, after.pct AS after_center_pct,
+    before.contrast AS before_contrast, after.contrast AS after_contrast, before.s AS before_surface_cov, after.s AS after_surface_cov, before.v AS before_valid_cov, after.v AS after_valid_cov, before.v IS NOT NULL AS before_valid_known, after.v IS NOT NULL AS after_valid_known,
+    'geometry_or_relative_probability_or_surface_present; multi_negative_valid_observation_absent' AS evidence_rule FROM both_""")
+def evidence_audit(spark, d):
+    return _both(spark, d).select("id", *decision.audit_fields("before", "after"))
 
-@_register("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'hard_veto' WHEN s >= 70 THEN 'auto_accept' WHEN s >= 50 THEN 'medium_confidence_auto' ELSE 'manual_review' END AS band FROM (SELECT *, o_orderkey % 101 AS s FROM orders)")
+
+@_register("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'hard_veto' WHEN s >= 70 THEN 'auto_accept' WHEN s >= 50 THEN 'medium_confidence_auto' ELSE 'manual_review' END AS band,
+    CASE WHEN o_orderstatus <> 'P' AND s >= 50 THEN 'accept' ELSE 'review' END AS decision FROM (SELECT *, o_orderkey % 101 AS s FROM orders)""")
 def score_bands(spark, d):
-    return tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), decision.score_band(F.col("o_orderkey") % 101, F.col("o_orderstatus") == "P").alias("band"))
+    rule = decision.score_rule(F.col("o_orderkey") % 101, F.col("o_orderstatus") == "P")
+    return tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rule.alias("x")).select("id", "x.band", "x.decision")
+
+
+_SOURCE = "CASE sample_index % 6 WHEN 0 THEN 'manual' WHEN 1 THEN 'samroad' WHEN 2 THEN 'surface_skeleton' WHEN 3 THEN 'connector' WHEN 4 THEN 'other' END"
 
 
-@_register(f"WITH {tables.SAMPLES_SQL} SELECT chain_id, sample_index, round(CASE grade WHEN 'A' THEN 3.0 WHEN 'B' THEN 2.0 ELSE 1.0 END + 0.25e0 * least(greatest(width / 40.0, support / 60000.0, 0.0), 1.0), 5) AS score FROM s")
+@_register(f"""WITH {tables.SAMPLES_SQL} SELECT chain_id, sample_index, round(CASE grade WHEN 'A' THEN 3.0e0 WHEN 'B' THEN 2.0e0 ELSE 1.0e0 END + 0.25e0 * least(greatest(width / 40.0e0, support / 60000.0e0, 0.0e0), 1.0e0)
+    + CASE coalesce({_SOURCE}, 'samroad') WHEN 'manual' THEN 0.5e0 WHEN 'samroad' THEN 0.25e0 WHEN 'connector' THEN -0.25e0 ELSE 0.0e0 END, 9) AS score FROM s""")
 def graded_scores(spark, d):
-    s = tables.width_samples(spark, d)
-    return _rounded(s.select("chain_id", "sample_index", decision.grade_score(F.col("grade"), F.col("width") / 40.0, F.col("support") / 60000.0).alias("score")), "score")
+    s = tables.width_samples(spark, d).withColumn("source", F.expr(_SOURCE))
+    score = decision.grade_score(F.lower("grade"), F.col("width") / 40.0, F.col("support") / 60000.0, F.col("source"))
+    return _rounded(s.select("chain_id", "sample_index", score.alias("score")), "score", digits=9)
+
 
+#: Names of changes: all that count, in odd spellings, and some that don't.
+_NAMES = [*decision.ADDED, *decision.REMOVED, *decision.WIDENED, *decision.NARROWED, *decision.WIDTH_CHANGED, " Added ", "New Road", "WIDTH CHANGE", "+2", "2", "0", "x", ""]
+_NAMED = f"n AS (SELECT event_id, value, replace(lower(trim(l[event_id % len(l) + 1])), ' ', '_') AS n, event_id % 7 AS code FROM (SELECT *, [{registry.quoted(_NAMES)}] AS l FROM events))"
 
-@_register("SELECT event_id, CASE WHEN try_cast(v AS DOUBLE) > 0 THEN 'added' WHEN try_cast(v AS DOUBLE) < 0 THEN 'removed' END AS change FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN CAST(-event_id AS VARCHAR) WHEN 2 THEN '0' ELSE CAST(event_id AS VARCHAR) END AS v FROM events)")
+
+def _class_sql(three: bool) -> str:
+    w, quoted = "'width_changed'", registry.quoted
+    return f"""CASE WHEN n IN ({quoted(decision.ADDED)}) THEN 'added' WHEN n IN ({quoted(decision.REMOVED)}) THEN 'removed' WHEN n IN ({quoted(decision.WIDENED)}) THEN {w if three else "'widened'"}
+        WHEN n IN ({quoted(decision.NARROWED)}) THEN {w if three else "'narrowed'"} WHEN n IN ({quoted(decision.WIDTH_CHANGED)}) THEN {w if three else "NULL"} END"""
+
+
+@_register(f"""WITH {_NAMED} SELECT event_id, {_class_sql(False)} AS of_four, {_class_sql(True)} AS of_three, CASE WHEN value - 50 > 0 THEN 'added' WHEN value - 50 < 0 THEN 'removed' END AS by_sign,
+    CASE code WHEN 2 THEN 'added' WHEN 4 THEN 'removed' END AS coded_four, CASE code WHEN 2 THEN 'added' WHEN 3 THEN 'width_changed' WHEN 4 THEN 'removed' END AS coded_three FROM n""")
 def change_codes(spark, d):
-    k = F.col("event_id") % 4
-    v = F.when(k == 0, "x").when(k == 1, (-F.col("event_id")).cast("string")).when(k == 2, "0").otherwise(F.col("event_id").cast("string"))
-    return tables.load(spark, d, "events").select("event_id", decision.change_class(v).alias("change"))
+    e = tables.load(spark, d, "events")
+    name = F.get(F.lit(_NAMES), (F.col("event_id") % len(_NAMES)).cast("int"))
+    code = F.concat(F.lit(" "), (F.col("event_id") % 7).cast("string"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""))
+    of = [decision.change_class(name).alias("of_four"), decision.change_class(name, 3).alias("of_three"), decision.change_sign(F.col("value") - 50).alias("by_sign")]
+    return e.select("event_id", *of, decision.coded_change(code).alias("coded_four"), decision.coded_change(code, 3).alias("coded_three"))
 
 
 _CONF = "c AS (SELECT d.source AS class, count(*) FILTER (l.quality = 1 AND p) AS tp, count(*) FILTER (l.quality <> 1 AND p) AS fp, count(*) FILTER (l.quality = 1 AND NOT p) AS fn, count(*) FILTER (l.quality <> 1 AND NOT p) AS tn FROM labels l JOIN (SELECT *, n_chars > (SELECT median(n_chars) FROM documents) AS p FROM documents) d USING (doc_id) GROUP BY 1)"
@@ -172,7 +235,7 @@ def _judged(spark, d):
     return rows.join(tables.load(spark, d, "labels"), "doc_id").select(F.col("source").alias("class"), "quality", (F.col("n_chars") > F.col("middle")).cast("int").alias("predicted"))
 
 
-@_register(f"WITH {_CONF}, m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS r FROM c) SELECT class, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, round(CASE WHEN tp + fp + fn > 0 THEN tp / CAST(tp + fp + fn AS DOUBLE) ELSE 1.0 END, 6) AS iou, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy FROM m")
+@_register(f"WITH {_CONF}, m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) WHEN tp + fp + fn = 0 THEN 1.0 ELSE 0.0 END AS r FROM c) SELECT class, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, round(CASE WHEN tp + fp + fn > 0 THEN tp / CAST(tp + fp + fn AS DOUBLE) ELSE 1.0 END, 6) AS iou, round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) ELSE 0.0 END, 6) AS accuracy FROM m")
 def class_metrics(spark, d):
     return _rounded(evaluate.with_metrics(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", "f1", "iou", "accuracy", digits=6)
 
@@ -334,22 +397,50 @@ def wildcard_lookup(spark, d):
     return jobs.wildcard_lookup(c.select("c_custkey", "nation", "c_mktsegment"), own.unionByName(every), "nation", "c_mktsegment", "v").select("c_custkey", "v")
 
 
-@_register(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_number, unnest(x) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)), b AS (SELECT doc_id, line_number, trim(replace(raw, chr(65279), ''), ' ') AS bare FROM l),
-    e AS (SELECT *, trim(regexp_replace(regexp_replace(bare, '^"(.*)"$', '\1'), '^''(.*)''$', '\1'), ' ') AS entry FROM b) SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, entry FROM e WHERE bare <> '' AND bare[1] <> '#' AND entry <> ''""")
+_W = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_W}+', ''), '{_W}+$', '')"
+
+
+@_register(rf"""WITH t AS (SELECT doc_id, concat_ws(chr(10), '# list', '"' || lang || '.tif" ', '  ' || chr(39) || source, '"', chr(65279) || ' a', text) AS text FROM documents),
+    x AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS x FROM t),
+    l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_number, unnest(x) AS raw FROM x),
+    b AS (SELECT doc_id, line_number, regexp_replace({_strip_sql("raw")}, '^\x{{FEFF}}+|\x{{FEFF}}+$', '', 'g') AS bare FROM l),
+    e AS (SELECT *, CASE WHEN bare[1] IN ('"', chr(39)) AND bare[-1] = bare[1] THEN CASE WHEN length(bare) = 1 THEN '' ELSE {_strip_sql("bare[2:-2]")} END ELSE bare END AS entry FROM b)
+    SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, entry FROM e WHERE bare <> '' AND bare[1] <> '#' AND entry <> ''""")
 def path_list_lines(spark, d):
-    return text_lists.list_lines(tables.load(spark, d, "documents"), "doc_id", "text")
+    odd = F.concat_ws("\n", F.lit("# list"), F.concat(F.lit('"'), "lang", F.lit('.tif" ')), F.concat(F.lit("  '"), "source"), F.lit('"'), F.lit("﻿ a"), "text")
+    return text_lists.list_lines(tables.load(spark, d, "documents").select("doc_id", odd.alias("text")), "doc_id", "text")
 
 
-@_register(r"SELECT page_id, regexp_replace(regexp_replace(url, '[^0-9A-Za-z_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name FROM pages")
+@_register(r"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN ' .-. ' ELSE substr(text, 1, 24) END AS raw FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '[^\p{L}\p{N}_-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name FROM n)
+    SELECT doc_id, CASE WHEN name = '' THEN 'grid' ELSE name END AS name FROM c""")
 def sanitised_names(spark, d):
-    return tables.load(spark, d, "pages").select("page_id", text_lists.clean_name(F.col("url")).alias("name"))
+    raw = F.when(F.col("doc_id") % 50 == 0, " .-. ").otherwise(F.substring("text", 1, 24))
+    return tables.load(spark, d, "documents").select("doc_id", text_lists.clean_name(raw).alias("name"))
+
+
+def natural_sql(x: str) -> str:
+    """SQL for text_lists.natural_key, joined by |."""
+    bare = r"regexp_replace(p, '^0+([0-9])', '\1')"
+    cut = rf"string_split(regexp_replace(lower({x}), '([0-9]+)', chr(1) || '\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string([CASE WHEN i % 2 = 0 THEN lpad(CAST(length({bare}) AS VARCHAR), 10, '0') || {bare} ELSE p END FOR p, i IN {cut}], '|')"
 
 
-@_register("SELECT raw, 0 AS class, CAST(replace(raw, '-', '') AS INT) AS ordinal, CAST(length(replace(raw, '-', '')) AS INT) AS granularity FROM (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y%m%d') END AS raw FROM orders)")
+@_register(f"""WITH r AS (SELECT DISTINCT CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, ' %Y%m ') WHEN 4 THEN 'Phase ' || (o_orderkey % 130) ELSE '2024' || (13 + o_orderkey % 5) END AS raw FROM orders),
+    t AS (SELECT raw, trim(raw) AS t, replace(trim(raw), '-', '') AS g FROM r), p AS (SELECT *, regexp_full_match(t, '[0-9]{{4}}|[0-9]{{6}}|[0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS dated FROM t),
+    d AS (SELECT *, CASE WHEN dated THEN try_strptime(CASE length(g) WHEN 4 THEN g || '0101' WHEN 6 THEN g || '01' ELSE g END, '%Y%m%d')::DATE END AS day FROM p)
+    SELECT raw, CASE WHEN day IS NOT NULL THEN 0 WHEN NOT dated THEN 1 END AS class, CAST(CASE WHEN day IS NOT NULL THEN date_diff('day', DATE '0001-01-01', day) + 1 WHEN NOT dated THEN 0 END AS INT) AS ordinal,
+        CAST(CASE WHEN day IS NOT NULL THEN (length(g) - 4) // 2 WHEN NOT dated THEN 0 END AS INT) AS granularity, CASE WHEN day IS NOT NULL THEN t WHEN NOT dated THEN {natural_sql("t")} END AS text FROM d""")
 def parsed_periods(spark, d):
-    o = tables.load(spark, d, "orders")
-    raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
-    return o.select(raw.alias("raw")).distinct().select("raw", text_lists.period_key(F.col("raw")).alias("k")).select("raw", "k.class", "k.ordinal", "k.granularity")
+    o, k = tables.load(spark, d, "orders"), F.col("o_orderkey")
+    form = lambda f: F.date_format("o_orderdate", f)
+    raw = F.when(k % 6 == 0, form("yyyy-MM-dd")).when(k % 6 == 1, form("yyyyMMdd")).when(k % 6 == 2, form("yyyy")).when(k % 6 == 3, form("' 'yyyyMM' '"))
+    raw = raw.when(k % 6 == 4, F.concat(F.lit("Phase "), k % 130)).otherwise(F.concat(F.lit("2024"), 13 + k % 5))
+    keyed = o.select(raw.alias("raw")).distinct().select("raw", text_lists.period_key(F.col("raw")).alias("k"))
+    return keyed.select("raw", "k.class", "k.ordinal", "k.granularity", F.array_join("k.text", "|").alias("text"))
 
 
 @_register("SELECT c_custkey, sha256('seed|' || c_custkey) AS rank_hash FROM customer ORDER BY 2 LIMIT 50")
@@ -392,11 +483,4 @@ def direction_scores(spark, d):
     return _rounded(p.select("vec_id", geometry.abs_cosine(F.col("x"), F.col("y"), F.lit(1.0), F.lit(1.0)).alias("cosine")), "cosine", digits=6)
 
 
-@_register()
-def width_runs(spark, d):
-    return _rounded(sequence.run_table(tables.width_samples(spark, d).select("chain_id", "sample_index", "width")), "width")
-
-
-@_register()
-def width_segments(spark, d):
-    return _rounded(sequence.segment_table(tables.width_samples(spark, d).select("chain_id", "sample_index", "width")), "width")
+from waymark.bindings import fields, lines, networks, widths  # noqa: E402, F401  register their queries

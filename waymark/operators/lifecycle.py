@@ -15,15 +15,16 @@ def correct_dropouts(obs: DataFrame) -> DataFrame:
 
 
 def transitions(obs: DataFrame, absolute: float = 2.0, ratio: float = 0.2) -> DataFrame:
-    """Events between consecutive periods of an entity: added, removed, widened, narrowed,
-    uncertain. A width counts as changed when it moves by `absolute` and by `ratio`."""
+    """Events between consecutive periods of an entity: added, removed, widened, narrowed, or
+    uncertain where one of two different statuses is. A width counts as changed when it moves
+    by `absolute` and by `ratio`; an unknown width doesn't."""
     w = Window.partitionBy("road_id").orderBy("period")
     each = obs.select("road_id", F.lag("period").over(w).alias("from_per"), F.col("period").alias("to_per"), F.lag("status").over(w).alias("before_st"), F.col("status").alias("after_st"), F.lag("width_m").over(w).alias("before_w"), F.col("width_m").alias("after_w")).where("from_per IS NOT NULL")
     diff = F.col("after_w") - F.col("before_w")
     changed = (F.abs(diff) >= absolute) & (F.abs(diff) / F.greatest("before_w", "after_w", F.lit(0.1)) >= ratio)
     both = (F.col("before_st") == "present") & (F.col("after_st") == "present")
     kind = (
-        F.when((F.col("before_st") == "uncertain") | (F.col("after_st") == "uncertain"), "uncertain")
+        F.when((F.col("before_st") != F.col("after_st")) & ((F.col("before_st") == "uncertain") | (F.col("after_st") == "uncertain")), "uncertain")
         .when((F.col("before_st") == "absent") & (F.col("after_st") == "present"), "added")
         .when((F.col("before_st") == "present") & (F.col("after_st") == "absent"), "removed")
         .when(both & changed & (diff > 0), "widened")

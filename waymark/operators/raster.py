@@ -51,7 +51,7 @@ def local_maxima(p: DataFrame) -> DataFrame:
 def windows(height: int, width: int, size: int, overlap: int) -> list[tuple[int, int]]:
     """Top-left corners of windows that cover a raster; the last ones end at its edge."""
     def starts(n: int) -> list[int]:
-        step = size - 2 * overlap
+        step = max(1, size - 2 * overlap)
         out = list(range(0, max(1, n - size + 1), step))
         return out if out[-1] + size >= n else [*out, max(0, n - size)]
 

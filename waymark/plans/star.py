@@ -23,8 +23,8 @@ def with_lowest(rows: DataFrame, low: DataFrame, hot: int | None) -> DataFrame:
 
 
 def star_components(links: DataFrame) -> DataFrame:
-    """node, root for all nodes of links (a, b) that aren't loops; root is the smallest node
-    of its component. Nodes can be of any type that compares.
+    """node, root for all nodes of links (a, b) but the roots themselves; a root is the
+    smallest node of its component. Nodes can be of any type that compares.
 
     Each round links every node's larger neighbours to its smallest one (large star), then
     its smaller neighbours and itself (small star), until no link changes: the number of

@@ -62,3 +62,24 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINTS_SQL = "p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, label FROM embeddings)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-point lines: a point and another one off it, from four places of a vector."""
+    at = lambda i, k: F.get("embedding", F.lit(i)).cast("double") * k
+    e = load(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("line_id"), at(0, 100).alias("x1"), at(1, 100).alias("y1"), (at(0, 100) + at(2, 20)).alias("x2"), (at(1, 100) + at(3, 20)).alias("y2"))
+
+
+def period_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as four periods see them: moved a little, a fifth of them missing."""
+    k, p = F.col("line_id"), F.col("period")
+    seen = lines(spark, sf_dir).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(4)))).where((k * 7 + p * 3) % 10 < 8)
+    dx, dy = ((k * 13 + p * 29) % 11 - 5) / F.lit(25.0), ((k * 17 + p * 31) % 13 - 6) / F.lit(30.0)
+    moved = [(F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return seen.select("period", "line_id", *moved, (4 + (k + p * 5) % 7).cast("double").alias("width"))
+
+
+PERIOD_LINES_SQL = f"""{POINTS_SQL}, ln AS (SELECT vec_id AS line_id, x AS x1, y AS y1, x + CAST(embedding[3] AS DOUBLE) * 20 AS x2, y + CAST(embedding[4] AS DOUBLE) * 20 AS y2 FROM p JOIN embeddings USING (vec_id)),
+    sn AS (SELECT *, unnest([1, 2, 3, 4]) AS period FROM ln), jt AS (SELECT *, ((line_id * 13 + period * 29) % 11 - 5) / 25.0e0 AS dx, ((line_id * 17 + period * 31) % 13 - 6) / 30.0e0 AS dy FROM sn WHERE (line_id * 7 + period * 3) % 10 < 8),
+    pl AS (SELECT period, line_id, x1 + dx AS x1, y1 + dy AS y1, x2 + dx AS x2, y2 + dy AS y2, CAST(4 + (line_id + period * 5) % 7 AS DOUBLE) AS width FROM jt)"""
