@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -79,7 +78,7 @@ class ChunkEncoder:
         added = [x for x in spec.get("added_tokens") or [] if not (escape and x["special"])]
         if any(x["normalized"] for x in added):  # found in the normalised text, which isn't at hand
             self.rule = "whole"
-        self.added = re.compile("|".join(re.escape(x["content"]) for x in added)) if added else None
+        self.added = [x["content"] for x in added]
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.tokenizer.get_vocab_size() < 65_536 else ("I", np.dtype("<u4"))
         self.limit, self.heads = limit, Chunks(self, "")
         self.cache = Chunks(self, " ") if self.rule == "blank" else self.heads
@@ -96,8 +95,9 @@ class ChunkEncoder:
         return "whole"
 
     def split(self, text: str) -> list[str] | None:
-        if self.added and self.added.search(text):
-            return None
+        for x in self.added:
+            if x in text:
+                return None
         if self.rule == "word" and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()
         if self.rule == "blank" and "  " not in text:
