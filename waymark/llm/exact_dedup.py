@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm._common import materialise, new_path, text_or_empty
+from waymark.llm._common import discard, materialise, new_path, text_or_empty
 
 #: Groups broadcast at most: those of at least 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 4096
@@ -74,9 +74,12 @@ class DigestIndex:
         """groups: digest, keep_id; one row a digest. Adds those that are new, and returns
         the batch's name."""
         batch = uuid.uuid4().hex
-        new = self.placed(groups).join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        # written first: else the optimiser joins rows before it groups them, and copies meet in a task
+        written = materialise(groups, "digest-batch")
+        new = self.placed(written).join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         rows = new.select("digest", "keep_id", F.lit(batch).alias("batch"))
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
+        discard(written)
         return batch
 
     def close(self) -> None:
