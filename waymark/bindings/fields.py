@@ -170,7 +170,7 @@ def relative_differences(spark, d):
     return rounded(tables.load(spark, d, "customer").select("c_custkey", decision.safe_relative(before, F.col("c_acctbal")).alias("change")), "change", digits=9)
 
 
-@register("SELECT p_partkey, CASE WHEN s >= 0.8 THEN 'supported' WHEN s <= 0.05 THEN 'missing' ELSE 'partial' END AS status FROM (SELECT p_partkey, (p_partkey % 21) / 20.0e0 AS s FROM part)")
+@register("SELECT p_partkey, CASE WHEN s >= 0.8 THEN 'surface_supported' WHEN s <= 0.05 THEN 'surface_missing' ELSE 'partial_surface' END AS status, CASE WHEN s >= 0.8 THEN 'high' ELSE 'low' END AS confidence, s < 0.8 AS review FROM (SELECT p_partkey, (p_partkey % 21) / 20.0e0 AS s FROM part)")
 def support_statuses(spark, d):
-    return tables.load(spark, d, "part").select("p_partkey", decision.support_status(F.col("p_partkey") % 21 / F.lit(20.0)).alias("status"))
-
+    state = decision.support_status(F.col("p_partkey") % 21 / F.lit(20.0))
+    return tables.load(spark, d, "part").select("p_partkey", state.alias("x")).select("p_partkey", "x.*")

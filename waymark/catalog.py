@@ -393,7 +393,7 @@ def last_wins(spark, d):
 def wildcard_lookup(spark, d):
     c = tables.load(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("string"))
     own = c.where("c_nationkey = 3").select(F.col("nation"), "c_mktsegment", F.lit(-1.0).alias("v")).distinct()
-    every = c.where("c_nationkey < 12").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("v")).select(F.lit("*").alias("nation"), "c_mktsegment", "v")
+    every = c.where("c_nationkey < 12").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("v")).select(F.lit("").alias("nation"), "c_mktsegment", "v")
     return jobs.wildcard_lookup(c.select("c_custkey", "nation", "c_mktsegment"), own.unionByName(every), "nation", "c_mktsegment", "v").select("c_custkey", "v")
 
 
@@ -483,4 +483,4 @@ def direction_scores(spark, d):
     return _rounded(p.select("vec_id", geometry.abs_cosine(F.col("x"), F.col("y"), F.lit(1.0), F.lit(1.0)).alias("cosine")), "cosine", digits=6)
 
 
-from waymark.bindings import fields, lines, networks, widths  # noqa: E402, F401  register their queries
+from waymark.bindings import fields, lines, masks, networks, widths  # noqa: E402, F401  register their queries

@@ -134,5 +134,7 @@ def first_valid(*values: Column, default: float = 0.0) -> Column:
     return F.coalesce(*[number(c) for c in values], F.lit(default))
 
 
-def support_status(share: Column) -> Column:
-    return F.when(share >= 0.8, "supported").when(share <= 0.05, "missing").otherwise("partial")
+def support_status(share: Column, supported: float = 0.8, missing: float = 0.05) -> Column:
+    """(status, confidence, review) of an edge by the share of its pixels on the surface."""
+    made = lambda s, c, r: F.struct(F.lit(s).alias("status"), F.lit(c).alias("confidence"), F.lit(r).alias("review"))
+    return F.when(share >= supported, made("surface_supported", "high", False)).when(share <= missing, made("surface_missing", "low", True)).otherwise(made("partial_surface", "low", True))

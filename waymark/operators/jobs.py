@@ -30,8 +30,8 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def wildcard_lookup(rows: DataFrame, table: DataFrame, key: str, fallback: str, value: str) -> DataFrame:
-    """value of table by (key, fallback), else by (*, fallback)."""
-    own = table.where(F.col(key) != "*").select(key, fallback, F.col(value).alias("_own"))
-    any_ = table.where(F.col(key) == "*").select(fallback, F.col(value).alias("_any"))
+def wildcard_lookup(rows: DataFrame, table: DataFrame, key: str, fallback: str, value: str, wildcard: str = "") -> DataFrame:
+    """value of table by (key, fallback), else by (wildcard, fallback)."""
+    own = table.where(F.col(key) != wildcard).select(key, fallback, F.col(value).alias("_own"))
+    any_ = table.where(F.col(key) == wildcard).select(fallback, F.col(value).alias("_any"))
     return rows.join(own, [key, fallback], "left").join(any_, fallback, "left").withColumn(value, F.coalesce("_own", "_any")).drop("_own", "_any")

@@ -56,3 +56,11 @@ def windows(height: int, width: int, size: int, overlap: int) -> list[tuple[int,
         return out if out[-1] + size >= n else [*out, max(0, n - size)]
 
     return [(y, x) for x in starts(width) for y in starts(height)]
+
+
+def window_starts(extent: Column, size: int, overlap: int) -> Column:
+    """The same starts as windows() for one side, as an array."""
+    step = max(1, size - 2 * max(0, overlap))
+    last = extent - size
+    each = F.sequence(F.lit(0), last, F.lit(step))
+    return F.when(extent <= size, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(each, F.array(last))))
