@@ -27,12 +27,23 @@ def latin(text: str) -> bool:
     return text.isalpha() and (text.isascii() or max(text) < "\u0250")
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write the letters that latin() takes: their UTF-8 bytes, printable
+    ones as themselves, the others by the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return {c: "".join(chr(names[b]) for b in chr(c).encode()) for c in [32, *range(128, 0x250)]}
+
+
+LETTERS = byte_letters()
+
+
 class Chunks(dict):
     """Ids of chunks; a chunk that isn't known is put together from parts that may be."""
 
     def __init__(self, owner: ChunkEncoder, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.mapped = owner, lead, lead.translate(LETTERS)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.owner.parts(self, chunk)
@@ -56,22 +67,20 @@ class ChunkEncoder:
     Texts for which that doesn't hold or that hold an added token (such as an end mark, which
     the library gives its own id), and other tokenizers, go to the library whole. With
     `escape`, added tokens in a text are ordinary text.
-    Letters of Latin alphabets, in lower case where case doesn't count, go to a copy of the
-    tokenizer without the normaliser and the pattern, which do nothing to them. The two
-    tables together hold some `limit` chunks of at most 64 characters.
+    Words of Latin letters, in lower case where case doesn't count, go to the tokenizer's
+    model alone: the normaliser and the pattern do nothing to them, and the byte level is one
+    look-up a letter. The two tables together hold some `limit` chunks of at most 64
+    characters.
     """
 
     def __init__(self, path: str, limit: int = 700_000, escape: bool = False):
         quiet_threads()
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = escape
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for x in (self.tokenizer, self.plain):
-            x.model._resize_cache(0)  # chunks are kept here
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # chunks are kept here
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule = self.find_rule(spec)
@@ -104,15 +113,16 @@ class ChunkEncoder:
             return text.split(" ")
         return None
 
-    def ids(self, text: str, by=None) -> bytes:
-        return array(self.code, (by or self.tokenizer).encode(text, add_special_tokens=False).ids).tobytes()
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def parts(self, table: Chunks, chunk: str) -> bytes:
         """Ids of a chunk that isn't known."""
         if self.rule == "word" and "\u03a3" not in chunk and (low := chunk.lower()) != chunk:
             return table[low]
         if latin(chunk):
-            return self.ids(table.lead + chunk, self.plain)
+            mapped = chunk if chunk.isascii() else chunk.translate(LETTERS)
+            return array(self.code, [t.id for t in self.model.tokenize(table.mapped + mapped)]).tobytes()
         if chunk[-1:] in MARKS and latin(chunk[:-1]):
             return table[chunk[:-1]] + self.heads[chunk[-1]]
         lines = chunk.split("\n")
