@@ -97,7 +97,7 @@ def segment_cover(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Colum
         three = F.array(disc(f, F.lit(0.0)), disc(f, f["long"]), box(f))
         first = lambda t: F.array_min(F.transform(t, lambda x: x["low"]))
         last = lambda t: F.array_max(F.transform(t, lambda x: x["high"]))
-        inside = let(three, lambda t: F.least(last(t), F.lit(1.0)) - F.greatest(first(t), F.lit(0.0)))
+        inside = let(three, lambda t: F.when(first(t).isNotNull(), F.least(last(t), F.lit(1.0)) - F.greatest(first(t), F.lit(0.0))))
         return F.when(f["size"] > 0, F.coalesce(F.greatest(F.lit(0.0), inside), F.lit(0.0))).otherwise(0.0)
 
     return let(let(sizes, turned), share)
