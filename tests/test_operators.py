@@ -37,7 +37,7 @@ NONE = (False, None, None, None, None, None, None)
         ((0.0, None, 1.0, *NONE), "uncertain", "insufficient_negative_evidence"),
         ((None, 0.0, 1.0, *NONE), "absent", "true_absence_confirmed"),
         ((0.0, 0.0, 1.0, True, 0.5, 0.90, 0.50, 0.3, 0.1, 0.6), "present", "reference_centerline_missing_but_probability_present"),
-        ((0.0, 0.0, 1.0, True, 0.5, 0.85, 0.74, 0.1, 0.1, 0.11), "present", "reference_centerline_missing_but_probability_present"),
+        ((0.0, 0.0, 1.0, True, 0.5, 0.85, 0.74, 0.1, 0.1, 0.12), "present", "reference_centerline_missing_but_probability_present"),
         ((0.0, 0.0, 1.0, True, 0.5, 0.84, 0.50, 0.3, 0.1, 0.6), "uncertain", "insufficient_negative_evidence"),
         ((0.0, 0.0, 1.0, True, 0.5, 0.70, 0.65, 0.3, 0.1, 0.6), "absent", "true_absence_confirmed"),
         ((0.0, 0.0, 1.0, True, 0.5, 0.70, 0.50, 0.3, 0.1, 0.6), "uncertain", "insufficient_negative_evidence"),

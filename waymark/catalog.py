@@ -483,4 +483,4 @@ def direction_scores(spark, d):
     return _rounded(p.select("vec_id", geometry.abs_cosine(F.col("x"), F.col("y"), F.lit(1.0), F.lit(1.0)).alias("cosine")), "cosine", digits=6)
 
 
-from waymark.bindings import fields, lines, masks, networks, reports, widths  # noqa: E402, F401  register their queries
+from waymark.bindings import fields, lines, masks, networks, paths, reports, widths  # noqa: E402, F401  register their queries

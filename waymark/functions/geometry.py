@@ -60,8 +60,15 @@ def segment_distance(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Co
 
 def segment_cover(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column, reach: float) -> Column:
     """Share of segment a that lies within `reach` of segment b: 0 to 1, 0 where a has no
-    length. What is near b is a convex shape, a rectangle and two discs, so the share is one
-    stretch, from the least to the greatest of where a meets these."""
+    length."""
+    part = segment_stretch(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, reach)
+    return let(part, lambda p: F.coalesce(F.greatest(F.lit(0.0), p["high"] - p["low"]), F.lit(0.0)))
+
+
+def segment_stretch(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column, reach: float) -> Column:
+    """(low, high), from 0 to 1 along segment a, of what lies within `reach` of segment b; null
+    where nothing does or a has no length. What is near b is a convex shape, a rectangle and
+    two discs, so it is one stretch, from the least to the greatest of where a meets these."""
     along = lambda end, start, long, other: F.coalesce(F.try_divide(end - start, long), F.lit(other))
     sizes = F.struct(length(ax1, ay1, ax2, ay2).alias("size"), length(bx1, by1, bx2, by2).alias("long"))
 
@@ -97,8 +104,8 @@ def segment_cover(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Colum
         three = F.array(disc(f, F.lit(0.0)), disc(f, f["long"]), box(f))
         first = lambda t: F.array_min(F.transform(t, lambda x: x["low"]))
         last = lambda t: F.array_max(F.transform(t, lambda x: x["high"]))
-        inside = let(three, lambda t: F.when(first(t).isNotNull(), F.least(last(t), F.lit(1.0)) - F.greatest(first(t), F.lit(0.0))))
-        return F.when(f["size"] > 0, F.coalesce(F.greatest(F.lit(0.0), inside), F.lit(0.0))).otherwise(0.0)
+        span = let(three, lambda t: stretch(F.greatest(first(t), F.lit(0.0)), F.when(first(t).isNotNull(), F.least(last(t), F.lit(1.0)))))
+        return let(span, lambda m: F.when((f["size"] > 0) & (m["low"] <= m["high"]), m))
 
     return let(let(sizes, turned), share)
 
