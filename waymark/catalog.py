@@ -230,7 +230,7 @@ _CONF = "c AS (SELECT d.source AS class, count(*) FILTER (l.quality = 1 AND p) A
 
 def _judged(spark, d):
     docs = tables.load(spark, d, "documents")
-    middle = docs.agg(F.median("n_chars").alias("middle"))
+    middle = robust.exact_quantile(docs, "n_chars", 0.5).select(F.col("q0").alias("middle"))
     rows = docs.select("doc_id", "source", "n_chars").join(F.broadcast(middle), how="cross")  # one row
     return rows.join(tables.load(spark, d, "labels"), "doc_id").select(F.col("source").alias("class"), "quality", (F.col("n_chars") > F.col("middle")).cast("int").alias("predicted"))
 
@@ -240,9 +240,9 @@ def class_metrics(spark, d):
     return _rounded(evaluate.with_metrics(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", "f1", "iou", "accuracy", digits=6)
 
 
-@_register(f"WITH {_CONF} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, count(*) AS tasks, round(sum(tp) / CAST(sum(tp) + sum(fp) AS DOUBLE), 6) AS precision, round(sum(tp) / CAST(sum(tp) + sum(fn) AS DOUBLE), 6) AS recall FROM c")
+@_register(f"WITH {_CONF} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, count(*) AS tasks, round(sum(tp) / CAST(sum(tp) + sum(fp) AS DOUBLE), 6) AS precision, round(sum(tp) / CAST(sum(tp) + sum(fn) AS DOUBLE), 6) AS recall, round(2 * sum(tp) / CAST(2 * sum(tp) + sum(fp) + sum(fn) AS DOUBLE), 6) AS f1, round(sum(tp) / CAST(sum(tp) + sum(fp) + sum(fn) AS DOUBLE), 6) AS iou FROM c")
 def pooled_metrics(spark, d):
-    return _rounded(evaluate.pooled(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", digits=6)
+    return _rounded(evaluate.pooled(evaluate.confusion(_judged(spark, d), "quality", "predicted", "class")), "precision", "recall", "f1", "iou", digits=6)
 
 
 _MERGED = f"""{tables.INTERVALS_SQL},

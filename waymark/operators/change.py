@@ -85,7 +85,7 @@ def network_coverage(segments: DataFrame, network: DataFrame, tolerance: float,
     spans = part.select(F.col("a_id").alias("line_id"), (F.col("share.low") * size).alias("start"), (F.col("share.high") * size).alias("end"))
     merged = intervals.merge(spans, "line_id", 0.0).groupBy("line_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
     sizes = segments.select("line_id", g.length(*[F.col(c) for c in lines.XY]).alias("length"))
-    return sizes.join(merged, "line_id", "left").select("line_id", F.coalesce(F.least(F.try_divide("covered", "length"), F.lit(1.0)), F.lit(0.0)).alias("coverage"))
+    return sizes.join(merged, "line_id", "left").select("line_id", F.least(F.coalesce(F.try_divide("covered", "length"), F.lit(0.0)), F.lit(1.0)).alias("coverage"))
 
 
 def detected(before: DataFrame, after: DataFrame, tolerance: float = 3.0, cell: float = 20.0, least: float = 5.0, **match) -> DataFrame:
