@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.plans.checkpoints import discard, materialise, new_path, shared_dir
 
-__all__ = ["WordHashes", "discard", "let", "materialise", "new_path", "quiet_threads", "read_table", "shared_dir", "text_or_empty", "within"]
+__all__ = ["WordHashes", "discard", "let", "materialise", "new_path", "quiet_threads", "read_table", "shared_dir", "size_of", "text_or_empty", "within"]
 
 
 def let(value: Column, body) -> Column:
@@ -42,6 +42,12 @@ class WordHashes(dict):
         return value
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes that the optimiser expects of df; 0 where it knows of no files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def within(sizes: list[tuple], most: int) -> list:
     """The first keys of (key, bytes), as many as take `most` bytes together."""
     out, total = [], 0

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import let, text_or_empty
+from waymark.llm._common import let, size_of, text_or_empty
 
 WORDS, BINS, BITS, TRIES = 5, 256, 8, 8
 _LEAST = -(2**63)
@@ -83,6 +83,10 @@ def packed(bins: Column) -> Column:
     return F.array_join(F.transform(bins, lambda x: F.substring(F.hex(x + F.lit(2**BITS)), 2, BITS // 4)), "")
 
 
+#: Bytes of texts that a range aims at, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two texts' shingles from their bins."""
     equal = F.size(F.filter(a, lambda x, i: x == F.get(b, i))) / F.lit(float(BINS))
@@ -95,7 +99,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     is followed by the first. Rows are dealt out by ranges of key, and the first rows of
     each range also go to the range before; only the ranges' lowest keys reach the driver."""
     spark = rows.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of(rows.select(*[c for c in columns if c != "bins"])) // RANGE_BYTES)))
     ranges = rows.select(key).repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low"))
     lows = sorted(r.low for r in ranges.collect())
     if not lows:

@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm._common import size_of
+
 # Elements of HTML by how their text counts.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
@@ -228,8 +230,8 @@ def ranges_of(rows: DataFrame) -> list[tuple[str, int, int]]:
     """Ranges of the sort key, ascending: the low end (at most CUT characters), and hashes of
     the first and last key in it. Their number grows with the bytes of the pages, MOST_RANGES
     at most; that is all the driver gets."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # no files whose size is known
+    size = size_of(rows)
+    if not size:
         size = (rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // 4
     parts = min(MOST_RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     keys = rows.select("key", F.substring("key", 1, CUT).alias("cut")).repartitionByRange(parts, "cut")
