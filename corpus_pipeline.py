@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept,
 and returns a DataFrame; run() writes each as Parquet in the shared folder and reads it
 again. All but the last return the columns of documents.
+
+Nulls, empties and ties: a null text counts as empty in every stage. Empty texts are scored
+by the classifier's bias, are copies of each other, hold no personal data and pack to their
+end token. Rows without an id take part as any other; of equal texts the row of the largest
+id stays (one of repeated rows), of near copies that of the smallest. An empty table passes
+through all stages, other columns are carried up to packing.
 """
 
 from __future__ import annotations
