@@ -77,22 +77,26 @@ def best_line_matches(spark, d):
     return rounded(best.select("a_id", "b_id", "score", "ambiguous"), "score", digits=6)
 
 
-_OBSERVED = f"""{_P}, rf AS (SELECT line_id, x1, y1, x2, y2 FROM ln WHERE line_id % 3 = 0), {_scores('rf', 'pl')},
+_OBSERVED = f"""{_P}, rf AS (SELECT line_id, x1, y1, x2, y2 FROM ln), {_scores('rf', 'pl')},
     rk AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY a.line_id, b.period ORDER BY score DESC, overlap DESC, distance, b.line_id DESC)),
     st AS (SELECT a, b, score, overlap, distance, dir, CASE WHEN overlap >= 0.35 AND score >= 0.48 AND NOT coalesce(second >= score - 0.05 AND second >= 0.35, false) THEN 'present' WHEN overlap >= 0.1 OR distance <= {TOL} THEN 'uncertain' ELSE 'absent' END AS status FROM rk WHERE place = 1),
     ev AS (SELECT r.line_id AS road_id, p.period, coalesce(status, 'absent') AS status, CASE WHEN status = 'present' THEN b.width END AS width_m, coalesce(overlap, 0) AS overlap, coalesce(score, 0) AS score, b.line_id AS source_id FROM rf r CROSS JOIN (SELECT DISTINCT period FROM pl) p LEFT JOIN st ON st.a.line_id = r.line_id AND st.b.period = p.period)"""
 
 
-# every third line is a reference; they are far apart, so that none claim a line together
-@register(f"""WITH {_OBSERVED}, cl AS (SELECT period, source_id FROM ev WHERE status = 'present' GROUP BY ALL HAVING count(*) > 1), dr AS (SELECT *, coalesce(lag(status) OVER w = 'present' AND status = 'absent' AND lead(status) OVER w = 'present', false) AS dropout FROM ev WINDOW w AS (PARTITION BY road_id ORDER BY period))
-    SELECT road_id, period, CASE WHEN dropout THEN 'uncertain' ELSE status END AS status, width_m, round(overlap, 6) AS overlap, round(score, 6) AS score, source_id, CASE WHEN dropout THEN 'single_period_dropout' WHEN status = 'uncertain' THEN 'ambiguous_or_weak_match' ELSE '' END AS qa_reason FROM dr WHERE road_id NOT IN (SELECT road_id FROM ev JOIN cl USING (period, source_id) WHERE status = 'present')""")
+# references that claim one line of a period, best first: one that overlaps an accepted one is refused
+_OWNED = f"""cl AS (SELECT period, source_id, road_id, row_number() OVER (PARTITION BY period, source_id ORDER BY score DESC, road_id) AS r FROM ev WHERE status = 'present'), np AS (SELECT a, b FROM rf a JOIN rf b ON a.line_id <> b.line_id AND {_distance()} <= {TOL}),
+    {_cover('np', 'a', 'b', TOL, 'pa')}, {_cover('pa', 'b', 'a', TOL, 'pb')}, ot AS (SELECT a.line_id AS i, list(b.line_id) AS o FROM pb WHERE least(pa_share, pb_share) >= 0.35 GROUP BY 1),
+    gr AS (SELECT period, source_id, r, [road_id] AS acc FROM cl WHERE r = 1 UNION ALL SELECT gr.period, gr.source_id, cl.r, CASE WHEN list_has_any(acc, coalesce(o, [])) THEN acc ELSE list_append(acc, road_id) END FROM gr JOIN cl ON cl.period = gr.period AND cl.source_id = gr.source_id AND cl.r = gr.r + 1 LEFT JOIN ot ON i = road_id),
+    fn AS (SELECT period, source_id, arg_max(acc, r) AS acc FROM gr GROUP BY 1, 2), ow AS (SELECT period, road_id FROM cl JOIN fn USING (period, source_id) WHERE NOT list_contains(acc, road_id)),
+    e3 AS (SELECT ev.* REPLACE (CASE WHEN ow.road_id IS NOT NULL THEN 'uncertain' ELSE status END AS status, CASE WHEN ow.road_id IS NULL THEN width_m END AS width_m), ow.road_id IS NOT NULL AS owned FROM ev LEFT JOIN ow ON ow.period = ev.period AND ow.road_id = ev.road_id),
+    dr AS (SELECT *, coalesce(lag(status) OVER w = 'present' AND status = 'absent' AND lead(status) OVER w = 'present', false) AS dropout FROM e3 WINDOW w AS (PARTITION BY road_id ORDER BY period))"""
+
+
+@register(f"""WITH {_OBSERVED.replace("p AS", "RECURSIVE p AS", 1)}, {_OWNED} SELECT road_id, period, CASE WHEN dropout THEN 'uncertain' ELSE status END AS status, width_m, round(overlap, 6) AS overlap, round(score, 6) AS score, source_id,
+    CASE WHEN dropout THEN 'single_period_dropout' WHEN owned THEN 'duplicate_source_ownership' WHEN status = 'uncertain' THEN 'ambiguous_or_weak_match' ELSE '' END AS qa_reason FROM dr""")
 def road_observations(spark, d):
-    refs = tables.lines(spark, d).where("line_id % 3 = 0")
-    seen = lines.observations(refs, tables.period_lines(spark, d), TOL, CELL)
-    claims = seen.where("status = 'present' OR qa_reason = 'duplicate_source_ownership'").groupBy("period", "source_id").agg(F.count("*").alias("n"), F.collect_set("road_id").alias("r")).where("n > 1")
-    shared = claims.select(F.explode("r").alias("road_id")).distinct()
-    rows = seen.join(shared, "road_id", "left_anti").select("road_id", "period", "status", "width_m", "overlap", "score", "source_id", "qa_reason")
-    return rounded(rows, "overlap", "score", digits=6)
+    seen = lines.observations(tables.lines(spark, d), tables.period_lines(spark, d), TOL, CELL)
+    return rounded(seen.select("road_id", "period", "status", "width_m", "overlap", "score", "source_id", "qa_reason"), "overlap", "score", digits=6)
 
 
 @register()

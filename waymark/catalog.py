@@ -63,14 +63,7 @@ def period_pairs(spark, d):
     return lifecycle.adjacent_pairs(tables.load(spark, d, "events").select(F.to_date("ts").alias("period")).distinct())
 
 
-@_register(f"WITH {_FIXED} SELECT road_id, " + ", ".join(f"coalesce(max(status) FILTER (day(period) = {i}), '0') AS d{i:02d}" for i in range(1, 8)) + " FROM fixed GROUP BY 1")
-def status_pivot(spark, d):
-    names = [f"d{i:02d}" for i in range(1, 8)]
-    obs = _fixed(spark, d).withColumn("period_name", F.concat(F.lit("d"), F.lpad(F.dayofmonth("period").cast("string"), 2, "0")))
-    return lifecycle.status_pivot(obs, names)
-
-
-# status_pivot's SQL names days 1 to 7; this one has a column for each period of the calendar
+# a column for each period of the calendar
 @_register(f"WITH {_FIXED} PIVOT fixed ON strftime(period, 'd%Y%m%d') USING coalesce(max(status), '0') GROUP BY road_id")
 def status_calendar(spark, d):
     obs = _fixed(spark, d).withColumn("period_name", F.date_format("period", "'d'yyyyMMdd"))
@@ -343,26 +336,6 @@ def graph_summary(spark, d):
     return graph.summary(nodes, edges, graph.components(nodes, edges))
 
 
-_SPECS = "prior AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events WHERE event_id % 50 <> 0 GROUP BY ALL), cur AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events WHERE event_id % 70 <> 1 GROUP BY ALL)"
-
-
-def _specs(spark, d):
-    e = tables.load(spark, d, "events").select("user_id", F.to_date("ts").alias("period"), "event_id")
-    of = lambda rows: rows.groupBy("user_id", "period").agg(F.sum("event_id").alias("fingerprint"))
-    return of(e.where("event_id % 50 <> 0")), of(e.where("event_id % 70 <> 1"))
-
-
-@_register(f"WITH {_SPECS} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.period, b.period) AS period, CASE WHEN a.fingerprint IS NULL THEN 'added' WHEN b.fingerprint IS NULL THEN 'removed' ELSE 'changed' END AS change FROM prior a FULL JOIN cur b ON a.user_id = b.user_id AND a.period = b.period WHERE a.fingerprint IS DISTINCT FROM b.fingerprint")
-def specification_diff(spark, d):
-    return jobs.spec_diff(*_specs(spark, d), ["user_id", "period"])
-
-
-@_register("WITH h AS (SELECT * FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, c_name FROM h WHERE c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, c_name FROM n")
-def keyed_upsert(spark, d):
-    c = tables.load(spark, d, "customer").select("c_custkey", "c_name")
-    return jobs.upsert(c.where("c_custkey % 3 > 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
-
-
 _VERSIONS = """g AS (SELECT user_id, CAST(ts AS DATE) AS period, sum(event_id) AS fingerprint FROM events GROUP BY ALL),
     prior AS (SELECT * FROM g UNION ALL SELECT -1 - user_id, period, fingerprint FROM g WHERE user_id % 2 = 0),
     cur AS (SELECT user_id, period, fingerprint + user_id % 3 AS fingerprint FROM g UNION ALL SELECT -1 - user_id, period, fingerprint FROM g WHERE user_id % 2 = 1)"""
