@@ -273,3 +273,10 @@ def test_quantiles_of_any_size(spark):
     assert [got.q0, got.q1, got.q2, got.q3] == pytest.approx(np.quantile(v, [0, 0.1, 0.5, 1.0]).tolist()) and got.n == 501
     empty = widths.exact_quantile(spark.createDataFrame([], "v double"), "v", 0.5).first()
     assert empty.q0 is None and empty.n == 0
+
+
+def test_rows_of_one_edge_id_take_the_median_at_all_their_ends(spark):
+    edges = spark.createDataFrame([(7, 1, 2, 10.0), (7, 3, 4, 90.0), (8, 1, 5, 10.0), (9, 3, 6, 10.0), (10, 4, 6, 10.0)], "edge_id long, src long, dst long, length double")
+    samples = spark.createDataFrame([(e, 0, w, 1.0, False, "") for e, w in ((8, 2.0), (9, 6.0), (10, 9.0))], "edge_id long, k long, width double, raw_width double, near_junction boolean, flags string")
+    rows = widths.classified(samples, edges)
+    assert [(r.final, r.status) for r in rows.where("edge_id = 7").collect()] == [(6.0, "interpolated_short_gap")] * 2
