@@ -462,6 +462,24 @@ def test_near_dedup_of_one_large_group(spark):
         assert all(find(d) == find(c) for d, c in got.items())
 
 
+def test_overlap_loses_no_link_of_a_large_group(spark):
+    rng = np.random.default_rng(13)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for k in range(300):  # texts of several sizes, most pairs of one group
+        words = base[: 120 - k % 20]
+        for i in rng.choice(len(words), rng.integers(0, 12), replace=False):
+            words[i] = f"v{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(near_dedup.hashed(t)[1].tolist()) for t in texts]
+    node = lambda i: i.to_bytes(2, "big")
+    pool = spark.createDataFrame([(node(i), node(i % 290)) for i in range(300)], "node binary, root binary")
+    table = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)], "node binary, text string")
+    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_dedup.overlapping(pool, table, 0.8).collect()}
+    every = {(a, b) for a, b in itertools.combinations(range(300), 2) if a % 290 != b % 290}
+    close = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(close) > 300 and close <= found <= every and len(found) < len(every) / 2
+
+
 def test_lowest_equals_a_sort():
     rng = np.random.default_rng(4)
     for n in (7, 40, 96, 500, 3000):

@@ -11,16 +11,15 @@ at 0.8 a long pair shares none of 30 with a chance of 1.1e-4 (16 k-mers against
 9.6e-4; 4 against 5: 2e-7). Labels count repeats, so texts of repeated lines, whose sets are
 closer than their labelled k-mers, are missed more often.
 
-A bucket (texts that share a key) of m texts first gives fewer than 5 m candidate pairs:
-each text with the bucket's leader, the text whose own buckets are largest (an original
-shares most with its copies), and with its next four in the order of further keys. The
-links among them make first classes, which hold nearly all links. Then rounds go on across
-classes: in a bucket of at most SMALL texts all pairs of different classes are checked;
-in a larger one each text meets its next four in an order by other keys, fresh in each
-round, and what links is merged, until a round links nothing. So work grows with the texts,
-not with the square of a group. What the rounds may miss: a link in large buckets only, of
-two texts that no order brought together, and that no chain of other links joins.
-`every_pair` checks all pairs across classes of large buckets too, in blocks.
+Each text of a bucket (texts that share a key) first meets the bucket's leader, the text
+whose own buckets are largest (an original shares most with its copies). The links among
+these give first classes. Then every pair of a bucket that lies in different classes is
+checked or ruled out: in a bucket of at most SMALL texts all of them are checked; the
+texts of larger ones go through a filter that loses no pair at `threshold`. With the
+shingles of each in one order, rarest first, two such texts share one among the first fifth
+of each, near enough to the front that what follows can still make up the overlap. Texts of
+one class, size and place are compared as one, so that work grows with the texts of a group
+and not with its square; only pairs that pass are written out.
 
 A candidate pair is a link when the five-word shingles of the two have a Jaccard
 similarity of `threshold` or more and the words, aligned in a band, an edit similarity
@@ -46,10 +45,10 @@ from waymark.llm._common import WordHashes, discard, materialise
 from waymark.llm.exact_dedup import digest, with_groups
 from waymark.plans.star import star_components
 
-WORDS, SKETCHES, PICKED, NEXT, REACH = 5, 30, 6, 4, 128
+WORDS, SKETCHES, PICKED, REACH = 5, 30, 6, 128
 FEW, FEW_FROM, FEW_PICKED = 20, 16, 3
-#: Buckets compared in full; texts a part of a larger one aims at, and has at most.
-SMALL, PART, MOST = 32, 256, 65_536
+#: Buckets compared in full; texts that a block of a larger one aims at.
+SMALL, PART = 32, 256
 #: Bytes of words and shingles that one matrix of hashes takes at most.
 BLOCK = 32_000_000
 
@@ -256,33 +255,19 @@ def sharing(nodes: DataFrame) -> DataFrame:
     return shared
 
 
-def members(shared: DataFrame, order: list[int], *more: str) -> DataFrame:
-    """A row for each node and bucket: key, size, node, n_shingles, s0 to s3 (further keys of
-    the node, as many places on as `order` says)."""
-    further = ", ".join(f"keys[CAST(p - p % {SKETCHES} + (p + {k}) % {SKETCHES} AS INT)] AS s{i}" for i, k in enumerate(order))
-    places = "filter(sequence(0, size(keys) - 1), p -> sizes[keys[p]] IS NOT NULL)"
-    entry = F.expr(f"transform({places}, p -> struct(keys[p] AS key, sizes[keys[p]] AS size, {further}))")
-    return shared.select("node", "n_shingles", *more, F.inline(entry))
-
-
-def following(rows: DataFrame, *more: str) -> DataFrame:
-    """Each row of a bucket with its next NEXT rows in the order of s0 to s3. Buckets are
-    dealt in parts of texts that agree in s0, and no part has many more than MOST texts."""
-    split = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / MOST).cast("long"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("s0", split), F.ceil(F.col("size") / PART).cast("long")))
-    by = Window.partitionBy("key", "part").orderBy("s0", "s1", "s2", "s3", "node")
-    other = lambda i: F.struct(*[F.lead(c, i).over(by).alias(f"other_{c}") for c in ("node", "n_shingles", *more)])
-    after = F.filter(F.array(*[other(i) for i in range(1, NEXT + 1)]), lambda x: x["other_node"].isNotNull())
-    return rows.select("node", "n_shingles", *more, after.alias("after")).select("node", "n_shingles", *more, F.inline("after"))
+def members(shared: DataFrame, *more: str) -> DataFrame:
+    """A row for each node and bucket: key, size, node, n_shingles."""
+    held = F.expr("transform(map_entries(sizes), e -> struct(e.key AS key, e.value AS size))")
+    return shared.select("node", "n_shingles", *more, F.inline(held))
 
 
 def candidates(shared: DataFrame, threshold: float) -> DataFrame:
-    """First pairs a < b of nodes: with the leaders of their buckets, and with those next."""
-    rows = members(shared, [1, 2, 3, 4], "weight")
+    """First pairs a < b of nodes: with the leaders of their buckets."""
+    rows = members(shared, "weight")
     leaders = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("leader"))
     leaders = materialise(leaders.select("key", F.col("leader.node").alias("other_node"), F.col("leader.n_shingles").alias("other_n_shingles")), "near-leaders")
     led = rows.select("key", "node", "n_shingles").join(leaders, "key").drop("key").where("node <> other_node")
-    pairs = materialise(_pairs(led.unionByName(following(rows.where("size > 2"))), threshold), "near-pairs")
+    pairs = materialise(_pairs(led, threshold), "near-pairs")
     discard(leaders)
     return pairs
 
@@ -295,31 +280,74 @@ def _pairs(met: DataFrame, threshold: float) -> DataFrame:
     return met.where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
-def across(shared: DataFrame, roots: DataFrame, checked: DataFrame, threshold: float, number: int, every_pair: bool) -> DataFrame:
-    """Pairs a < b of nodes that share a key, are of different classes by roots (node, root)
-    and aren't among the checked ones. Small buckets give all pairs, in the first round;
-    large ones those that follow each other in this round's order, or all (every_pair)."""
+def across(shared: DataFrame, roots: DataFrame, checked: DataFrame, texts: DataFrame, threshold: float, every_pair: bool) -> DataFrame:
+    """Pairs a < b of nodes that share a key, are of different classes by roots (node, root),
+    aren't among the checked ones, and may be links: all such pairs of small buckets, and
+    those of larger ones that overlapping() doesn't rule out, or all (every_pair)."""
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = np.random.default_rng(number).permutation(np.arange(1, SKETCHES))[:4].tolist()
-    rows = members(placed, order, "root")
+    rows = members(placed, "root")
     large = rows.where(F.col("size") > SMALL)
-    mixed_keys = materialise(large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "near-mixed")
+    mixed_keys = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     large = large.join(mixed_keys, "key")
-    if every_pair:
-        met = _blocks(large)
-    else:
-        met = following(large, "root").where("root <> other_root").drop("root", "other_root")
-    if number == 0:
-        # a bucket of at most SMALL rows
-        small = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "root")).alias("m"))
-        differ = "filter(slice(m, i + 2, size(m)), y -> y.root <> x.root)"
-        pair = "struct(x.node AS node, x.n_shingles AS n_shingles, y.node AS other_node, y.n_shingles AS other_n_shingles)"
-        met = met.unionByName(small.select(F.inline(F.expr(f"flatten(transform(m, (x, i) -> transform({differ}, y -> {pair})))"))))
-    pairs = materialise(_pairs(met, threshold).join(checked, ["a", "b"], "left_anti"), "near-across")
-    discard(mixed_keys)
+    pool = materialise(large.select("node", "root").distinct(), "near-pool")
+    # a bucket of at most SMALL rows
+    small = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "root")).alias("m"))
+    differ = "filter(slice(m, i + 2, size(m)), y -> y.root <> x.root)"
+    pair = "struct(x.node AS node, x.n_shingles AS n_shingles, y.node AS other_node, y.n_shingles AS other_n_shingles)"
+    met = _pairs(small.select(F.inline(F.expr(f"flatten(transform(m, (x, i) -> transform({differ}, y -> {pair})))"))), threshold)
+    close = _pairs(_blocks(large), threshold) if every_pair else overlapping(pool, texts, threshold)
+    pairs = materialise(met.unionByName(close).distinct().join(checked, ["a", "b"], "left_anti"), "near-across")
+    discard(pool, *([] if every_pair else [close]))
     return pairs
 
 
+def places(pool: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The first shingles of the pool's texts that another one has too, rarest first: shingle,
+    root, n (different shingles of the text), place (from 0, among all of the text), node. Of
+    a text's n, those beyond (1 - threshold) n are left out: one before them is shared by any
+    text at the threshold."""
+
+    def run(batches):
+        for b in batches:
+            found = [hashed(t or "")[1] for t in b.column(2).to_pylist()]
+            at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            values = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, values)], names=["node", "root", "shingles"])
+
+    own = materialise(pool.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node binary, root binary, shingles array<long>"), "near-shingles")
+    each = own.select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    rows = own.select("node", "root", F.size("shingles").alias("n")).join(shared, "node").select("node", "root", "n", F.size("s").alias("m"), F.posexplode("s").alias("i", "s"))
+    rows = rows.select(F.col("s.shingle").alias("shingle"), "root", "n", (F.col("n") - F.col("m") + F.col("i")).alias("place"), "node")
+    out = materialise(rows.where(F.col("place") <= F.lit(1 - threshold + 1e-9) * F.col("n")), "near-places")
+    discard(own)
+    return out
+
+
+def overlapping(pool: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of the pool's nodes (node, root) of different roots, all that are at the
+    threshold among them. Of n and n' shingles two texts at Jaccard t share t / (1 + t) (n + n')
+    or more; so many must be left in each from the first shared one on, which lies in the first
+    (1 - t) / (1 + t) of the smaller text's. Shingles of one root, size and place meet as one
+    row; those that pass are joined to their texts."""
+    rows = places(pool, texts, threshold)
+    share = threshold / (1 + threshold)
+    kinds = rows.select("shingle", "root", "n", "place").distinct()
+    other = kinds.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("root", "n", "place")])
+    front = kinds.where(F.col("place") <= F.lit(1 - 2 * share + 1e-9) * F.col("n"))
+    left = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    near = (F.col("n") <= F.col("other_n")) & (F.col("n") >= F.lit(threshold - 1e-9) * F.col("other_n")) & (left >= F.lit(share) * (F.col("n") + F.col("other_n")) - 1e-6)
+    met = front.hint("merge").join(other, (kinds["shingle"] == other["shingle"]) & (F.col("root") != F.col("other_root")) & near).drop(other["shingle"])
+    met = materialise(met, "near-kinds")
+    texts_at = rows.select("shingle", "root", "n", "place", F.col("node").alias("a"))
+    others_at = rows.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("root", "n", "place")], F.col("node").alias("b"))
+    found = met.join(texts_at, ["shingle", "root", "n", "place"]).join(others_at, ["shingle", "other_root", "other_n", "other_place"])
+    out = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-overlapping")
+    discard(rows, met)
+    return out
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """All pairs of different classes of each bucket, by blocks of some PART texts."""
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / PART).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
@@ -360,7 +388,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def near_classes(docs: DataFrame, threshold: float = 0.8, every_pair: bool = False) -> DataFrame:
     """Per row of docs: doc_id, class_id, class_size, n_links (the links of its text to
     different texts that were checked; texts of one class aren't all paired), kept, digest.
-    docs must give the same rows each time it is read."""
+    docs must give the same rows each time it is read. every_pair: pairs across classes of
+    large buckets are all compared, none is ruled out beforehand."""
     rows = materialise(signatures(docs), "near-signatures")
     # texts of one digest have the same keys
     same = [F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")]
@@ -370,23 +399,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, every_pair: bool = Fal
     checked = [candidates(shared, threshold)]
     links = [materialise(verify(checked[0], texts, threshold), "near-links")]
     roots = star_components(links[0])
-    while True:
-        every = checked[0]
-        for more in checked[1:]:
-            every = every.unionByName(more)
-        checked.append(across(shared, roots, every, threshold, len(checked) - 1, every_pair))
-        links.append(materialise(verify(checked[-1], texts, threshold), "near-links"))
-        if links[-1].isEmpty():
-            break
-        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links[-1].select("a", "b"))
+    checked.append(across(shared, roots, checked[0], texts, threshold, every_pair))
+    links.append(materialise(verify(checked[1], texts, threshold), "near-links"))
+    if not links[1].isEmpty():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links[1].select("a", "b"))
         before, roots = roots, star_components(joined)
         discard(before)
-        if every_pair:
-            break
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links[0].unionByName(links[1]).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     own = nodes.drop("keys", "n_shingles").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # only linked nodes share a root; a root's nodes are different texts
     best = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).getField("node").alias("best")
