@@ -153,3 +153,16 @@ def test_suppress_and_runs():
     assert sequence.suppress(x, y, score, 1.0).tolist() == [True, False, False, True]
     assert sequence.suppress(x, y, np.array([0.9, 1.1, 0.7, 1.5]), 1.0).tolist() == [False, True, False, True]
     assert sequence.split_runs([0.2, 0.2, 0.2, 0.5], ratio=0.35) == [0, 0, 0, 0]
+
+
+def test_greedy_needs_no_connected_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(a), int(b), float(d)) for a, b, d in zip(rng.integers(0, 40, 400), rng.integers(0, 40, 400), rng.integers(1, 6, 400), strict=True)}, key=lambda r: (r[2], r[0], r[1]))
+    used_a, used_b, want = set(), set(), []
+    for a, b, d in rows:
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.append((a, b, d))
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long, distance double")
+    assert sorted(map(tuple, match.greedy_one_to_one(pairs).collect())) == sorted(want)

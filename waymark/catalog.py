@@ -299,12 +299,7 @@ def ambiguous_matches(spark, d):
 
 @_register()
 def greedy_matches(spark, d):
-    pairs = _pairs(spark, d)
-    # node ids of the two sides differ: a keeps its id, b becomes -1 - id
-    edges = pairs.select(F.col("a_id").alias("src"), (-1 - F.col("b_id")).alias("dst"))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    parts = graph.components(nodes, edges).where("node >= 0").select(F.col("node").alias("a_id"), F.col("component").alias("part"))
-    return _rounded(match.greedy_one_to_one(pairs, parts), "distance", digits=6)
+    return _rounded(match.greedy_one_to_one(_pairs(spark, d)), "distance", digits=6)
 
 
 _EDGES = f"{tables.POINTS_SQL}, g AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM p a, p b WHERE a.vec_id < b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1)"
