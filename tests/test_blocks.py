@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import segments as sg
-from waymark.operators import lines
+from waymark.operators import intervals, lines
 
 ODD = [(0, 0, 0, 0), (0, 0, 4, 0), (1, 0, 3, 0), (2, -1, 2, 1), (4, 0, 6, 0), (0, 1, 4, 1), (0, 0.5, 4, 0.5), (1, 1, 1, 1), (5, 5, 9, 9)]
 
@@ -70,3 +70,12 @@ def test_pairs_of_a_full_cell_are_no_rows(spark, crowd):
     join = plan[plan.index("Join") :]
     assert "collect_list" in join and "MapInArrow" not in join
     assert near.columns == ["a_id", "ax1", "ay1", "ax2", "ay2", "b_id", "bx1", "by1", "bx2", "by2", "distance"]
+
+
+def test_united_intervals_cover_the_same(spark, crowd):
+    df = frame(spark, crowd.tolist())
+    met = lambda u: lines.intervals_on(lines.side(df, "a"), lines.side(df, "b"), 0.4, 50.0, united=u)
+    every = intervals.merge(met(False).select(F.col("a_id").alias("k"), "start", "end"), "k")
+    few = met(True).withColumnRenamed("a_id", "k")
+    assert sorted(map(tuple, intervals.merge(few, "k").collect())) == sorted(map(tuple, every.collect()))
+    assert few.count() < met(False).count() / 20

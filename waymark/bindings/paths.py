@@ -107,8 +107,7 @@ _SPANS = f"""pr AS (SELECT a, b, {_distance()} AS distance FROM {_ONE} a, {_TWO}
     SELECT line_id, round(start, 6) AS start, round("end", 6) AS "end" FROM gp WHERE "end" - start >= 0.5""")
 def unmatched_remainders(spark, d):
     one, two = _period(spark, d, 1), _period(spark, d, 2)
-    near = lines.near_lines(lines.side(one, "a"), lines.side(two, "b"), TOL, CELL).withColumn("i", lines.interval_on("a", "b", TOL)).where("i IS NOT NULL")
-    covered = near.select(F.col("a_id").alias("line_id"), "i.start", "i.end")
+    covered = lines.intervals_on(lines.side(one, "a"), lines.side(two, "b"), TOL, CELL, united=True).withColumnRenamed("a_id", "line_id")
     return rounded(change.remainders(one, covered, 0.5), "start", "end", digits=6)
 
 
