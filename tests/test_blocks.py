@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import segments as sg
-from waymark.operators import intervals, lines
+from waymark.operators import change, intervals, lines
 
 ODD = [(0, 0, 0, 0), (0, 0, 4, 0), (1, 0, 3, 0), (2, -1, 2, 1), (4, 0, 6, 0), (0, 1, 4, 1), (0, 0.5, 4, 0.5), (1, 1, 1, 1), (5, 5, 9, 9)]
 
@@ -79,3 +79,14 @@ def test_united_intervals_cover_the_same(spark, crowd):
     few = met(True).withColumnRenamed("a_id", "k")
     assert sorted(map(tuple, intervals.merge(few, "k").collect())) == sorted(map(tuple, every.collect()))
     assert few.count() < met(False).count() / 20
+
+
+def test_coverage_of_a_full_cell(spark, crowd):
+    df = frame(spark, crowd.tolist())
+    got = {r.line_id: r.coverage for r in change.network_coverage(df.where("line_id < 40"), df.where("line_id % 9 = 0"), 0.05, 50.0).collect()}
+    near = change.lines.near_lines(lines.side(df.where("line_id < 40"), "a"), lines.side(df.where("line_id % 9 = 0"), "b"), 0.05, 50.0)
+    part = near.withColumn("s", g.segment_stretch(*lines.columns(), 0.05)).where("s IS NOT NULL").select("a_id", "s.low", "s.high").collect()
+    for i in range(40):
+        at = np.arange(0.5, 4000) / 4000
+        inside = np.any([(r.low <= at) & (at <= r.high) for r in part if r.a_id == i], axis=0)
+        assert abs(got[i] - np.mean(inside)) < 0.01

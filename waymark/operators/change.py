@@ -3,11 +3,13 @@ mean axes, corridors, and the changes with their decisions."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
+from waymark.functions import segments as sg
 from waymark.operators import intervals, lines
 from waymark.plans.checkpoints import materialise
 
@@ -79,10 +81,15 @@ def corridors(segments: DataFrame) -> DataFrame:
 def network_coverage(segments: DataFrame, network: DataFrame, tolerance: float, cell: float) -> DataFrame:
     """(line_id, coverage) of segments: the share within the tolerance of any line of a
     network; stretches are merged, so lines that cover the same part count once."""
-    pairs = lines.near_lines(lines.side(segments, "a"), lines.side(network, "b"), tolerance, cell)
-    size = g.length(*lines.columns()[:4])
-    part = pairs.withColumn("share", g.segment_stretch(*lines.columns(), tolerance)).where("share IS NOT NULL")
-    spans = part.select(F.col("a_id").alias("line_id"), (F.col("share.low") * size).alias("start"), (F.col("share.high") * size).alias("end"))
+
+    def measure(x, y, distance, at):
+        low, high = (part * sg.length(*x) for part in sg.stretch(x, y, tolerance))
+        kept = np.flatnonzero(high - low > 1e-6)  # as merge() has it
+        first, start, end = sg.united(at("a_id")[kept], low[kept], high[kept])
+        return kept[first], {"start": start, "end": end}
+
+    # overlapping stretches of a block's lines are one already
+    spans = lines.near_lines(lines.side(segments, "a"), lines.side(network, "b"), tolerance, cell, measure, ("a_id", "start", "end")).withColumnRenamed("a_id", "line_id")
     merged = intervals.merge(spans, "line_id", 0.0).groupBy("line_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
     sizes = segments.select("line_id", g.length(*[F.col(c) for c in lines.XY]).alias("length"))
     return sizes.join(merged, "line_id", "left").select("line_id", F.least(F.coalesce(F.try_divide("covered", "length"), F.lit(0.0)), F.lit(1.0)).alias("coverage"))
