@@ -90,3 +90,12 @@ def test_coverage_of_a_full_cell(spark, crowd):
         at = np.arange(0.5, 4000) / 4000
         inside = np.any([(r.low <= at) & (at <= r.high) for r in part if r.a_id == i], axis=0)
         assert abs(got[i] - np.mean(inside)) < 0.01
+
+
+def test_matches_without_relations(spark, crowd):
+    df = frame(spark, crowd[:60].tolist())
+    moved = df.withColumn("y1", F.col("y1") + 0.01)
+    every = lines.match_segments(df, moved, 0.3, 50.0, overlap=0.2, spacing=0.5)
+    plain = lines.match_segments(df, moved, 0.3, 50.0, overlap=0.2, spacing=0.5, related=False)
+    assert "relation" in every.columns and "relation" not in plain.columns
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, every.select(*plain.columns).collect()))
