@@ -102,7 +102,7 @@ def detected(before: DataFrame, after: DataFrame, tolerance: float = 3.0, cell:
     Stretches that no claimed match covers are added or removed, for review: there is no
     evidence here but geometry. Claimed pairs whose widths differ enough, with good grades,
     are widened or narrowed; those rejected are not."""
-    m = materialise(lines.match_segments(before, after, tolerance, cell, **match).select("a_id", "b_id", "score"), "matches")
+    m = materialise(lines.match_segments(before, after, tolerance, cell, related=False, **match).select("a_id", "b_id", "score"), "matches")
     kept = materialise(claims(m, before, after, tolerance), "claims")
     span = lambda s: kept.select(F.col(f"{s}_id").alias("line_id"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"))
     none = F.lit(None).cast("double")
