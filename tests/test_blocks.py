@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import segments as sg
-from waymark.operators import change, intervals, lines
+from waymark.operators import change, intervals, lines, paths
 
 ODD = [(0, 0, 0, 0), (0, 0, 4, 0), (1, 0, 3, 0), (2, -1, 2, 1), (4, 0, 6, 0), (0, 1, 4, 1), (0, 0.5, 4, 0.5), (1, 1, 1, 1), (5, 5, 9, 9)]
 
@@ -131,3 +131,13 @@ def test_repeated_lines_equal_the_sequential_rule():
         best = max(((x.score, -x.b_id, x.overlap) for x in pairs[pairs.a_id == line].itertuples() if x.b_id in taken), default=None)
         gone, taken = (gone + [line], taken) if best and best[2] >= 0.35 else (gone, taken | {line})
     assert gone and lines._repeated(pairs).line_id.tolist() == gone
+
+
+def test_leaders_of_lines_equal_the_sequential_rule(spark, crowd):
+    rows, heads, want = crowd[:250], [], {}
+    ends = lambda p, q: min(max(np.hypot(*(p[:2] - q[:2])), np.hypot(*(p[2:] - q[2:]))), max(np.hypot(*(p[:2] - q[2:])), np.hypot(*(p[2:] - q[:2]))))
+    for i, p in enumerate(rows):
+        want[i] = next((h for h in heads if ends(p, rows[h]) <= 0.6), i)
+        if want[i] == i:
+            heads.append(i)
+    assert {r.line_id: r.leader for r in paths.line_groups(frame(spark, rows.tolist()), 0.6, 50.0).collect()} == want
