@@ -102,6 +102,38 @@ def test_matches_without_relations(spark, crowd):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, every.select(*plain.columns).collect()))
 
 
+def test_relations_take_no_rounds(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    chain = [(i + k, i) for i in range(-150, 0) for k in (0, 1)]
+    rows = chain + [(int(a) + 10, int(b) + 10) for a, b in r.integers(0, 120, (110, 2))] + [(7, 900), (7, 901), (8, 902), (9, 902)] + chain[:5]
+    links = {}
+    for a, b in rows:
+        links.setdefault(("a", a), set()).add(("b", b))
+        links.setdefault(("b", b), set()).add(("a", a))
+    want, seen = {}, set()
+    for first in sorted(links):
+        if first not in seen:
+            part, todo = set(), [first]
+            while todo:
+                if (one := todo.pop()) not in part:
+                    part.add(one)
+                    todo += links[one]
+            seen |= part
+            ids = {s: sorted(i for t, i in part if t == s) for s in "ab"}
+            kind = {(True, True): "one_to_one", (True, False): "one_to_many", (False, True): "many_to_one"}.get((len(ids["a"]) == 1, len(ids["b"]) == 1), "partial")
+            want |= {(a, b): (ids["a"][0], kind) for t, a in part if t == "a" for _, b in links["a", a]}
+    assert {kind for _, kind in want.values()} == {"one_to_one", "one_to_many", "many_to_one", "partial"}
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long").repartition(5)
+    given = lambda: sorted((x.a_id, x.b_id, x.part, x.relation) for x in lines.relations(pairs).collect())
+    expected = sorted((a, b, *want[a, b]) for a, b in rows)
+    rounds = []
+    monkeypatch.setattr(lines, "star_components", lambda links, star=lines.star_components: rounds.append(1) or star(links))
+    assert given() == expected and not rounds
+    monkeypatch.setattr(lines, "GROUP_PAIRS", 10)
+    assert given() == expected and rounds
+    assert lines.relations(pairs.limit(0)).collect() == []
+
+
 def test_points_snap_to_nodes_then_lines(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.2, 0.0), (3, 5.0, 0.1), (4, 9.0, 9.0)], ["id", "x", "y"])
     df = frame(spark, [(4, 0, 6, 0, 1, 2), (5, 0.1, 6, 1, 3, 4), (4, 0, 6, 0, 8, 9), (0, 0, 1, 0, 8, 9)], "src", "dst")
