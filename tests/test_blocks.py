@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as g
 from waymark.functions import segments as sg
 from waymark.operators import change, intervals, lines, network, paths
+from waymark.plans import tiles
 
 ODD = [(0, 0, 0, 0), (0, 0, 4, 0), (1, 0, 3, 0), (2, -1, 2, 1), (4, 0, 6, 0), (0, 1, 4, 1), (0, 0.5, 4, 0.5), (1, 1, 1, 1), (5, 5, 9, 9)]
 
@@ -220,3 +221,38 @@ def test_reach_by_tiles_knows_longer_edges(spark):
     with pytest.raises(Exception, match="has no place"):
         network.reach(edges, nodes, nodes.limit(0), 3, nodes.where("node <> 2"), 1.0).collect()
     assert network.reach(edges, nodes, nodes.limit(0), 1, nodes, 90.0).count() == 4 + 6
+
+
+def network_of(spark, seed, n, size, least=0.0, most=2.0):
+    """A random network, nodes alike among it: all pairs from `least` to `most` apart."""
+    rng = np.random.default_rng(seed)
+    p = rng.uniform(-size / 2, size / 2, (n, 2)).round(3)
+    p[n - 3 :] = p[:3]
+    off = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    pairs = [(int(i), int(j)) for i, j in np.argwhere((off >= least) & (off <= most)) if i < j]
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "node long, x double, y double")
+    return nodes, spark.createDataFrame(pairs, "src long, dst long")
+
+
+def test_noding_by_tiles_gives_the_nodes_of_the_edges(spark, monkeypatch):
+    nodes, edges = network_of(spark, 5, 60, 7.0)
+    rows = lambda df: sorted((r.x, r.y) for r in df.collect())
+    want = rows(paths.noded(nodes, edges, 4.0)[0])
+    tiled = paths.noded(nodes, edges, 4.0, 2.0)
+    assert rows(tiled[0]) == want and {r.node for r in tiled[0].collect()} == {n for r in tiled[1].collect() for n in r}
+    # only the tile's nodes leave a task, each once, however far a tile is quartered
+    held = {}
+    place = {r.node: (r.x, r.y) for r in nodes.collect()}
+    ids = np.array(sorted(place))
+    x, y = (np.array([place[i][k] for i in ids]) for k in (0, 1))
+    src, dst = (np.array([r[k] for r in sorted(map(tuple, edges.collect()))]) for k in (0, 1))
+    for meet in (2, 50, 10**6):
+        monkeypatch.setattr(paths, "MEET", meet)
+        found = []
+        for tx in (-1, 0):
+            for ty in (-1, 0):
+                tile = tiles.Tile(tx, ty, 40_001, ids, x, y, np.zeros(len(ids), bool), src, dst)
+                found += [p for b in paths._noded(tile) for p in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        held[meet] = sorted(found)
+    assert held[2] == held[50] == held[10**6] == want
+    assert paths._places(np.array([0.00005, -0.00005, 1.00005, 2.00015, -3.2, 0.0])).tolist() == [1, -1, 10001, 20002, -32000, 0]
