@@ -256,3 +256,13 @@ def test_noding_by_tiles_gives_the_nodes_of_the_edges(spark, monkeypatch):
         held[meet] = sorted(found)
     assert held[2] == held[50] == held[10**6] == want
     assert paths._places(np.array([0.00005, -0.00005, 1.00005, 2.00015, -3.2, 0.0])).tolist() == [1, -1, 10001, 20002, -32000, 0]
+
+
+def test_splits_by_tiles_equal_those_in_rounds(spark):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    # all pairs: parts are edges themselves; long ones only: they aren't, and rounds go on
+    for seed, least, distance in ((1, 0.0, 0.3), (2, 1.5, 0.3), (3, 1.0, 1.2)):
+        nodes, edges = network_of(spark, seed, 90, 8.0, least)
+        assert rows(paths.split_at_nodes(nodes, edges, distance, 4.0, 2.0)) == rows(paths.split_at_nodes(nodes, edges, distance, 4.0))
+    with pytest.raises(Exception, match="an edge is longer than"):
+        paths.split_at_nodes(nodes, edges, 0.3, 4.0, 1.1).collect()
