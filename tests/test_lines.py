@@ -280,3 +280,14 @@ def test_rows_of_one_edge_id_take_the_median_at_all_their_ends(spark):
     samples = spark.createDataFrame([(e, 0, w, 1.0, False, "") for e, w in ((8, 2.0), (9, 6.0), (10, 9.0))], "edge_id long, k long, width double, raw_width double, near_junction boolean, flags string")
     rows = widths.classified(samples, edges)
     assert [(r.final, r.status) for r in rows.where("edge_id = 7").collect()] == [(6.0, "interpolated_short_gap")] * 2
+
+
+def test_a_variation_that_is_the_bound_is_not_above_it(spark):
+    # orders of widths for which a running deviation divided by the median comes out above 0.3
+    orders = [(4, 4, 6, 3, 6), (5, 9, 9, 8, 3), (4, 8, 4, 10, 8), (8, 10, 8, 11, 4), (8, 10, 8, 11, 3)]
+    samples = spark.createDataFrame([(i, float(w), 1.0, False, None) for i, o in enumerate(orders) for w in o], "edge_id long, width double, raw_width double, near_junction boolean, flags string").coalesce(1)
+    edges = spark.createDataFrame([(i, 2 * i, 2 * i + 1, 50.0) for i in range(len(orders))], "edge_id long, src long, dst long, length double")
+    got = {r.edge_id: r for r in widths.profiles(samples, edges, 0.5, 30.0, 0.3).collect()}
+    assert [got[i].confidence for i in range(5)] == ["high"] * 4 + ["medium"]
+    assert [got[i].cv for i in range(4)] == [0.3] * 4 and got[2].std == 2.4
+    assert math.isclose(got[4].std, float(np.std(orders[4])))
